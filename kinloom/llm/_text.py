@@ -61,8 +61,9 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """base^0.. and base^-0.. modulo 2^64, n of each at least; base is odd."""
     if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        _POWERS[base] = tuple(np.cumprod(np.concatenate([[1], np.full(size - 1, x, np.uint64)]).astype(np.uint64), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+        factors = np.array([base, pow(base, -1, 1 << 64)], np.uint64)[:, None].repeat(max(n, SLICE_BYTES + 1), axis=1)
+        factors[:, 0] = 1
+        _POWERS[base] = tuple(np.cumprod(factors, axis=1, dtype=np.uint64))
     return _POWERS[base]
 
 

@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from kinloom.llm._spark import checkpointed, lookup
 from kinloom.llm._text import slices, span_hashes, words
 
-#: A cut needs so many zero bits: chunks have 2^CUT_BITS bytes on average.
+#: A cut needs so many zero bits, so there is one in 2^CUT_BITS bytes on average.
 CUT_BITS = 5
+#: A cut with another so near before it is passed over, so that chance repeats of tiny chunks are rare.
+NEAREST = 12
 LONGEST_CHUNK = 1024
 MIN_WORDS = 15
 GEAR = np.random.RandomState(11).randint(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -37,7 +39,10 @@ def cut_places(data: np.ndarray, offsets: np.ndarray, cut_bits: int = CUT_BITS,
     cut = (h >> np.uint32(32 - cut_bits)) == 0
     early = (offsets[:-1, None] + np.arange(31)).ravel()
     cut[early[early < np.repeat(offsets[1:], 31)]] = False
-    edges = np.unique(np.concatenate([np.flatnonzero(cut) + 1, offsets]))
+    at = np.flatnonzero(cut) + 1
+    # a rule of the neighbourhood alone, unlike a least size counted from the last cut kept
+    at = at[np.diff(at, prepend=-NEAREST) >= NEAREST]
+    edges = np.unique(np.concatenate([at, offsets]))
     starts, ends = edges[:-1], edges[1:]
     long = np.flatnonzero(ends - starts > longest)
     if len(long):
@@ -72,37 +77,49 @@ def chunks(docs: DataFrame, cut_bits: int = CUT_BITS, longest: int = LONGEST_CHU
     return docs.select("doc_id", "text").where("text is not null and doc_id is not null").mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int = CUT_BITS) -> DataFrame:
-    """Spans of at least ``min_words`` words whose chunks occur in other documents too.
+def _runs(rows: DataFrame, min_words: int) -> DataFrame:
+    """The chunks that lie in runs of neighbours with at least ``min_words`` words; run numbers a document's runs.
 
-    Returns doc_id, start, size (bytes of the text's UTF-8), n_words, n_chunks, first_doc_id (the
-    smallest doc_id that shares a chunk of the span), most_docs (the largest number of rows that
-    share one) and is_first (no document with a smaller doc_id has any of the span's chunks).
-    Spans end at chunk borders, so a shared passage is found up to some tens of bytes at its ends.
-    Null and empty texts and rows without a doc_id have no spans; rows that repeat a doc_id count
-    as one document; an empty table gives an empty result.  Other columns are not read.
+    A document's rows are in one group: it is as large as the document's shared part.
     """
+    order = Window.partitionBy("doc_id").orderBy("place")
+    runs = rows.withColumn("run", F.col("place") - F.row_number().over(order))
+    return runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run"))).where(F.col("run_words") >= min_words).drop("run_words")
+
+
+def _shared_chunks(docs: DataFrame, cut_bits: int) -> DataFrame:
+    """The chunks that other documents have too, with the smallest doc_id (first_doc_id) and the rows (n) that have them."""
     pieces = chunks(docs, cut_bits)
     shared = checkpointed(
         pieces.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("digest", F.col("low").alias("first_doc_id"), "n")
     )
-    found = lookup(pieces, shared, ["digest"], "n", "inner")
-    # a document's chunks are in one group: it is as large as the document's shared part
-    order = Window.partitionBy("doc_id").orderBy("place")
-    runs = found.dropDuplicates(["doc_id", "place", "digest"]).withColumn("run", F.col("place") - F.row_number().over(order))
-    spans = runs.groupBy("doc_id", "run").agg(
+    return lookup(pieces, shared, ["digest"], "n", "inner").dropDuplicates(["doc_id", "place", "digest"])
+
+
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int = CUT_BITS) -> DataFrame:
+    """Spans of at least ``min_words`` words whose chunks occur in other documents too.
+
+    Returns doc_id, start, size (bytes of the text's UTF-8), n_words, n_chunks, n_repeats (its
+    chunks that a smaller doc_id has too), first_doc_id (the smallest doc_id that shares a chunk of
+    the span) and most_docs (the largest number of rows that share one).  Spans end at chunk
+    borders, so a shared passage is found up to some tens of bytes at its ends.  Null and empty
+    texts and rows without a doc_id have no spans; rows that repeat a doc_id count as one
+    document; an empty table gives an empty result.  Other columns are not read.
+    """
+    return _runs(_shared_chunks(docs, cut_bits), min_words).groupBy("doc_id", "run").agg(
         F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_chunks"),
-        F.min("first_doc_id").alias("first_doc_id"), F.max("n").alias("most_docs"), (F.min("first_doc_id") == F.col("doc_id")).alias("is_first"),
-    )
-    return spans.where(F.col("n_words") >= min_words).select("doc_id", "start", "size", "n_words", "n_chunks", "first_doc_id", "most_docs", "is_first")
+        F.count_if(F.col("first_doc_id") < F.col("doc_id")).alias("n_repeats"), F.min("first_doc_id").alias("first_doc_id"), F.max("n").alias("most_docs"),
+    ).drop("run")
 
 
-def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every repeated span cut out but where no smaller doc_id has it; all columns stay."""
-    cuts = repeated_spans(docs, **options).where("not is_first").groupBy(F.col("doc_id").alias("__kl_id")).agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("__kl_cuts"))
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int = CUT_BITS) -> DataFrame:
+    """``docs`` without the runs of at least ``min_words`` words whose chunks smaller doc_ids have; all columns stay."""
+    again = _runs(_shared_chunks(docs, cut_bits).where(F.col("first_doc_id") < F.col("doc_id")), min_words)
+    cuts = again.groupBy(F.col("doc_id").alias("__kl_id")).agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("__kl_cuts"))
     body = F.col("text").cast("binary")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.encode(F.lit(""), "UTF-8").alias("out"))
-    kept = F.aggregate("__kl_cuts", start, lambda s, c: F.struct((c["start"] + c["size"]).cast("long").alias("at"), F.concat(s["out"], F.substring(body, (s["at"] + 1).cast("int"), (c["start"] - s["at"]).cast("int"))).alias("out")))
+    start = F.struct(F.lit(0).alias("at"), F.encode(F.lit(""), "UTF-8").alias("out"))
+    kept = F.aggregate("__kl_cuts", start, lambda s, c: F.struct((c["start"] + c["size"]).alias("at"), F.concat(s["out"], F.substring(body, s["at"] + 1, c["start"] - s["at"])).alias("out")))
     joined = docs.join(cuts, docs["doc_id"] == F.col("__kl_id"), "left").withColumn("__kl_kept", kept)
-    rest = F.concat(F.col("__kl_kept.out"), F.substring(body, (F.col("__kl_kept.at") + 1).cast("int"), F.octet_length("text")))
-    return joined.withColumn("text", F.when(F.col("__kl_cuts").isNull(), F.col("text")).otherwise(F.decode(rest, "UTF-8"))).select(*docs.columns)
+    rest = F.concat(F.col("__kl_kept.out"), F.substring(body, F.col("__kl_kept.at") + 1, F.octet_length("text")))
+    # a chunk may end inside a character of several bytes; a broken one is replaced
+    return joined.withColumn("text", F.when(F.col("__kl_cuts").isNull(), F.col("text")).otherwise(F.make_valid_utf8(rest.cast("string")))).select(*docs.columns)

@@ -49,7 +49,7 @@ def gram_buckets(code: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...]
     for n in sorted(orders):
         for k in range(done, n):
             h = h * MULTIPLIER
-            h[: len(code) - k] += code[k:] + np.uint32(1)
+            h[: max(len(code) - k, 0)] += code[k:] + np.uint32(1)
         done = n
         whole = np.ones(len(code), bool)
         ends = offsets[1:]
