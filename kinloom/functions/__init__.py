@@ -1,0 +1 @@
+"""Column expressions: report texts and masks of nested profiles."""
