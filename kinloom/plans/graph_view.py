@@ -68,3 +68,60 @@ edges AS (SELECT id AS source, 'o' || l_partkey AS target, weight, edge_detail,
           FROM people JOIN (SELECT s_nationkey, min(s_suppkey) AS s FROM supplier GROUP BY 1) f ON c_nationkey = s_nationkey
           WHERE entity_type = 'Client'),
 sym AS (SELECT source, target, weight, edge_detail, edge_seq FROM edges UNION ALL SELECT target, source, weight, edge_detail, edge_seq FROM edges)"""
+
+
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (customer, part, order line) as an edge; those of returned lines run from part to customer."""
+    people = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.when(F.expr(VARIANTS["dense"][0]), "p").otherwise("c"), "c_custkey").alias("id"))
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.groupBy("o_custkey", "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_seq")).agg(F.max(F.ceil(F.col("l_quantity") / 12.5) / 4).alias("weight"), F.min("l_returnflag").alias("edge_detail"))
+    part, back = F.concat(F.lit("o"), "l_partkey"), F.col("edge_detail") == "R"
+    return rows.join(people, F.col("o_custkey") == F.col("c_custkey")).select(F.when(back, part).otherwise(F.col("id")).alias("source"), F.when(back, F.col("id")).otherwise(part).alias("target"), "weight", "edge_detail", "edge_seq")
+
+
+PURCHASES_SQL = """
+bought AS (SELECT o_custkey, l_partkey, l_orderkey * 10 + l_linenumber AS edge_seq, max(ceil(l_quantity / 12.5) / 4) AS weight, min(l_returnflag) AS edge_detail
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
+named AS (SELECT CASE WHEN c_acctbal < 0 THEN 'p' ELSE 'c' END || c_custkey AS id, 'o' || l_partkey AS part, weight, edge_detail, edge_seq FROM bought JOIN customer ON o_custkey = c_custkey),
+purchases AS (SELECT CASE WHEN edge_detail = 'R' THEN part ELSE id END AS source, CASE WHEN edge_detail = 'R' THEN id ELSE part END AS target, weight, edge_detail, edge_seq FROM named)"""
+
+
+def sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer-part pairs of first lines with a discount of 9 percent and more: many small components."""
+    people = _customers(spark, sf_dir, "dense")
+    lines = read(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_discount >= 0.09").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.join(people, F.col("o_custkey") == F.col("c_custkey")).select(F.col("id").alias("source"), F.concat(F.lit("o"), "l_partkey").alias("target")).distinct().withColumn("weight", F.lit(1.0))
+
+
+#: reach holds (id, other) of all pairs in one component, which is for small components only.
+SPARSE_SQL = f"""
+{view_sql("dense")},
+pairs AS (SELECT DISTINCT id AS source, 'o' || l_partkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN people ON o_custkey = c_custkey WHERE l_linenumber = 1 AND l_discount >= 0.09),
+links AS (SELECT source, target FROM pairs UNION ALL SELECT target, source FROM pairs),
+reach(id, other) AS (SELECT DISTINCT source, source FROM links UNION SELECT reach.id, links.target FROM reach JOIN links ON reach.other = links.source),
+component AS (SELECT id AS node, min(other) AS component FROM reach GROUP BY 1)"""
+
+
+def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (client, prospect, part both bought): the connections report's input."""
+    people = _customers(spark, sf_dir, "dense").select("id", "c_custkey", "c_nationkey", "c_name", "networth")
+    held = edges(spark, sf_dir).where(F.col("target").startswith("o"))
+    client = held.join(people, F.col("source") == F.col("id")).where(F.col("id").startswith("c")).select(F.col("id").alias("client_id"), F.col("c_custkey").alias("ck"), F.col("c_name").alias("client_name"), F.when(F.col("c_nationkey") < 5, 1).otherwise(0).alias("client_is_fav"), F.col("networth").alias("client_est_nw"), "target", F.col("weight").alias("cw"), F.col("edge_detail").alias("client_org_relation"))
+    other = held.join(people, F.col("source") == F.col("id")).where(F.col("id").startswith("p")).select(F.col("c_custkey").alias("pk"), F.col("c_name").alias("connection_name"), F.when(F.col("networth") > -900, F.col("networth")).alias("connection_est_nw"), "target", F.col("weight").alias("pw"), F.col("edge_detail").alias("conn_org_relation"))
+    parts = read(spark, sf_dir, "part").select(F.concat(F.lit("o"), "p_partkey").alias("target"), F.col("p_partkey").alias("k"), F.concat("p_name", F.lit(" "), "p_partkey").alias("organization"), F.when(F.col("p_type") != "ECONOMY", F.col("p_type")).alias("org_type"))
+    both = client.join(other, "target").join(parts, "target")
+    return both.select(
+        "client_id", "client_name", "client_is_fav", F.concat(F.lit("ace "), F.col("ck") % 7).alias("primary_ace"), (F.col("client_est_nw") * 10).alias("est_aum"), "client_est_nw", "connection_name", "connection_est_nw",
+        "organization", "org_type", (F.col("cw") * F.col("pw")).alias("score"), "client_org_relation", "conn_org_relation", (F.col("ck") * 10**12 + F.col("pk") * 10**6 + F.col("k")).alias("seq"),
+    )
+
+
+CONNECTIONS_SQL = f"""
+{view_sql("dense")},
+connections AS (
+  SELECT c.id AS client_id, c.c_name AS client_name, CASE WHEN c.c_nationkey < 5 THEN 1 ELSE 0 END AS client_is_fav, 'ace ' || (c.c_custkey % 7) AS primary_ace,
+         c.networth * 10 AS est_aum, c.networth AS client_est_nw, p.c_name AS connection_name, CASE WHEN p.networth > -900 THEN p.networth END AS connection_est_nw,
+         p_name || ' ' || p_partkey AS organization, CASE WHEN p_type <> 'ECONOMY' THEN p_type END AS org_type, e.weight * f.weight AS score,
+         e.edge_detail AS client_org_relation, f.edge_detail AS conn_org_relation, c.c_custkey * 1000000000000 + p.c_custkey * 1000000 + p_partkey AS seq
+  FROM edges e JOIN people c ON e.source = c.id AND c.id[1] = 'c' JOIN edges f ON e.target = f.target JOIN people p ON f.source = p.id AND p.id[1] = 'p'
+  JOIN part ON e.target = 'o' || p_partkey)"""
