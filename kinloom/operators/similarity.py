@@ -40,14 +40,16 @@ def nearest_long(vectors: DataFrame, targets: DataFrame, n: int, exclude_self: b
     blocks = [max(1, -(-d.count() // tile)) for d in (vectors, targets)]
     keyed = lambda d, k: d.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(k)))
     left = keyed(unit_v, blocks[0]).withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks[1] - 1)), lambda j: F.col("block") * blocks[1] + j))).select("tile", "id", "embedding")
-    right = keyed(unit_t, blocks[1]).withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks[0] - 1)), lambda i: i.cast("long") * blocks[1] + F.col("block")))).select("tile", "id", "embedding")
+    right = keyed(unit_t, blocks[1]).withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks[0] - 1)), lambda i: i.cast("long") * blocks[1] + F.col("block"))))
+    # other names than the left side's, which may come from the same table
+    right = right.select(F.col("tile").alias("tile_"), F.col("id").alias("other"), F.col("embedding").alias("vector"))
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, others = np.array(a["id"].to_pylist(), object), np.array(sorted(zip(b["id"].to_pylist(), range(b.num_rows), strict=True)), object).reshape(-1, 2)
+        ids, others = np.array(a["id"].to_pylist(), object), np.array(sorted(zip(b["other"].to_pylist(), range(b.num_rows), strict=True)), object).reshape(-1, 2)
         out: list[list] = [[], [], []]
         if len(ids) and len(others):
             x = np.array(a["embedding"].to_pylist(), float)
-            y = np.array(b["embedding"].to_pylist(), float)[others[:, 1].astype(int)]
+            y = np.array(b["vector"].to_pylist(), float)[others[:, 1].astype(int)]
             names = others[:, 0]
             for i in range(0, len(x), 512):
                 scores = np.round(x[i : i + 512] @ y.T, 9)
@@ -61,7 +63,7 @@ def nearest_long(vectors: DataFrame, targets: DataFrame, n: int, exclude_self: b
                                 out[k].append(v)
         return pa.table([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["id", "other", "score"])
 
-    pairs = left.groupBy("tile").cogroup(right.groupBy("tile")).applyInArrow(search, "id string, other string, score double")
+    pairs = left.groupBy("tile").cogroup(right.groupBy("tile_")).applyInArrow(search, "id string, other string, score double")
     order = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 

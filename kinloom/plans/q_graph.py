@@ -177,6 +177,7 @@ def c8_path_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.path_length_stats(view.sparse_edges(spark, sf_dir)).withColumn("avg_path", F.round("avg_path", 6))
 
 
-@query(f"{PATHS} SELECT least((2 * quantile_cont(avg_path, 0.5))::DECIMAL(18,6)::DOUBLE // 1, 80)::INT AS walk_length, greatest(10, 10000000 // (sum(size) * least((2 * quantile_cont(avg_path, 0.5)) // 1, 80)))::BIGINT AS num_walks FROM lengths WHERE size >= 6")
+@query(f"""{PATHS}, l AS (SELECT least(floor(2 * quantile_cont(avg_path, 0.5)), 80)::BIGINT AS walk_length, sum(size)::BIGINT AS n FROM lengths WHERE size >= 6)
+SELECT walk_length::INT AS walk_length, greatest(10, 10000000 // (n * walk_length)) AS num_walks FROM l""")
 def c9_recommend_walk_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.recommend_walk_params(view.sparse_edges(spark, sf_dir), 6)

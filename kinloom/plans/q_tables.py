@@ -219,7 +219,7 @@ o AS (SELECT p.*, o_orderkey, o_orderpriority, o_orderstatus, row_number() OVER
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN '' ELSE 'new' END AS text_out, CASE WHEN p_size % 5 > 0 THEN -1 END AS number_out,
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN '' ELSE 'new' END AS text_out, CASE WHEN p_size % 5 > 0 THEN '-1' ELSE 'none' END AS number_out,
        CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS list_size FROM part
 """)
 def h1_replace_if(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +230,7 @@ def h1_replace_if(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.when(F.col("p_size") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array("p_name", "p_type"))
     whole = F.when(F.col("p_size") % 5 > 0, F.col("p_size") % 5 - 1)  # zero is replaced
     return part.select(
-        "p_partkey", masking.replace_if(text, F.lit("new"), T.StringType()).alias("text_out"), masking.replace_if(whole, F.lit(-1), T.IntegerType()).alias("number_out"),
+        "p_partkey", masking.replace_if(text, F.lit("new"), T.StringType()).alias("text_out"), F.coalesce(masking.replace_if(whole, F.lit(-1), T.IntegerType()).cast("string"), F.lit("none")).alias("number_out"),
         F.size(masking.replace_if(listed, F.array(F.lit("one")), T.ArrayType(T.StringType()))).alias("list_size"),
     )
 
