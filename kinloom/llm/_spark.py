@@ -32,11 +32,11 @@ def lookup(rows: DataFrame, entries: DataFrame, keys: list[str], weight: str, ho
     ordinary shuffled join, where no key holds more than that share.  ``rows`` is read twice, so
     callers hand in a checkpoint or something as cheap.  Keys must not be null in ``entries``.
     """
-    total = entries.agg(F.sum(weight)).first()[0] or 0
-    limit = max(HEAVY_LEAST, -(-total // HEAVY_SHARE))
-    heavy = entries.where(F.col(weight) >= limit)
-    if heavy.isEmpty():
+    total, most = entries.agg(F.sum(weight), F.max(weight)).first()
+    limit = max(HEAVY_LEAST, -(-(total or 0) // HEAVY_SHARE))
+    if (most or 0) < limit:
         return rows.join(entries, keys, how)
+    heavy = entries.where(F.col(weight) >= limit)
     ids = heavy.select(*keys)
     hot = rows.join(F.broadcast(heavy), keys, "inner")
     rest = rows.join(F.broadcast(ids), keys, "left_anti").join(entries.where(F.col(weight) < limit), keys, how)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from kinloom.llm._spark import checkpointed, held_out
-from kinloom.llm._text import SLICE_BYTES, slices
+from kinloom.llm._text import BASE, SLICE_BYTES, mixed, powers, slices
 
 LEARN_FROM = 12_000
 ROUNDS = 3
@@ -47,13 +47,17 @@ def words_of(text: bytes) -> list[bytes]:
     return found
 
 
-def _keys(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each row of bytes (uint64)."""
-    h = np.zeros(codes.shape[0], np.uint64)
-    for k in range(codes.shape[1]):
-        h = (h + codes[:, k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
+def _keys(sums: np.ndarray, length: int) -> np.ndarray:
+    """(row, start): a 64-bit key of the ``length`` bytes from each start, read off the rows' prefix sums."""
+    _, inverse = powers(sums.shape[1], BASE)
+    return mixed((sums[:, length:] - sums[:, : sums.shape[1] - length]) * inverse[: sums.shape[1] - length])
+
+
+def _prefix_sums(codes: np.ndarray) -> np.ndarray:
+    power, _ = powers(codes.shape[1] + 1, BASE)
+    sums = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
+    np.cumsum((codes + np.uint64(1)) * power[: codes.shape[1]], axis=1, out=sums[:, 1:])
+    return sums
 
 
 class Pieces:
@@ -71,7 +75,7 @@ class Pieces:
         for n in range(1, LONGEST_PIECE + 1):
             own = [i for i, t in enumerate(self.tokens) if len(t) == n]
             if own:
-                key = _keys(np.array([list(self.tokens[i]) for i in own], np.uint64))
+                key = _keys(_prefix_sums(np.array([list(self.tokens[i]) for i in own], np.uint64)), n)[:, 0]
                 order = np.argsort(key)
                 self.by_length[n] = key[order], np.array(own)[order]
 
@@ -79,12 +83,13 @@ class Pieces:
         """(word, end, length - 1) -> piece number or -1, for words of one length with their leading space."""
         codes = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1).astype(np.uint64)
         n, size = codes.shape
+        sums = _prefix_sums(codes)
         out = np.full((n, size + 1, LONGEST_PIECE), -1, np.int32)
         for length, (key, number) in self.by_length.items():
-            for end in range(length, size + 1):
-                k = _keys(codes[:, end - length : end])
+            if length <= size:
+                k = _keys(sums, length)
                 at = np.minimum(np.searchsorted(key, k), len(key) - 1)
-                out[:, end, length - 1] = np.where(key[at] == k, number[at], -1)
+                out[:, length:, length - 1] = np.where(key[at] == k, number[at], -1)
         return out
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kinloom.llm._spark import checkpointed
+
 SEED = 17
 #: Above this rate a Poisson variable is summed from parts of at most this mean, to keep exp() away from 0.
 PART = 16.0
@@ -41,10 +43,16 @@ def poisson_inverse(u: Column, mean: Column) -> Column:
     return F.when(mean > 0, walk).otherwise(F.lit(0))
 
 
+def source_sizes(docs: DataFrame) -> DataFrame:
+    """(source, n_docs): one row per source, null as ''; a checkpoint, as it is read several times."""
+    return checkpointed(docs.groupBy(F.coalesce("source", F.lit(NONE)).alias("source")).agg(F.count("*").alias("n_docs")))
+
+
 def temperature_weights(docs: DataFrame, alpha: float = 0.5) -> DataFrame:
     """(source, weight): shares in proportion to n^alpha, which lifts small sources."""
-    sizes = docs.groupBy(F.coalesce("source", F.lit(NONE)).alias("source")).agg(F.count("*").alias("n")).withColumn("p", F.pow("n", F.lit(alpha)))
-    return sizes.crossJoin(F.broadcast(sizes.agg(F.sum("p").alias("all_p")))).select("source", (F.col("p") / F.col("all_p")).alias("weight"))
+    powers = source_sizes(docs).select("source", F.pow("n_docs", F.lit(alpha)).alias("p"))
+    total = powers.agg(F.sum("p")).first()[0]
+    return powers.select("source", (F.col("p") / F.lit(total)).alias("weight"))
 
 
 def repetition_rates(docs: DataFrame, weights: DataFrame, budget: float | None = None) -> DataFrame:
@@ -53,12 +61,12 @@ def repetition_rates(docs: DataFrame, weights: DataFrame, budget: float | None =
     Weights are scaled to sum to 1 over the sources that have documents; a source without a
     weight gets rate 0.
     """
-    sizes = docs.groupBy(F.coalesce("source", F.lit(NONE)).alias("source")).agg(F.count("*").alias("n_docs"))
-    both = sizes.join(weights.select(F.coalesce("source", F.lit(NONE)).alias("source"), "weight"), "source", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
-    whole = both.agg(F.sum("weight").alias("all_w"), F.sum("n_docs").alias("all_n"))  # one row
-    want = F.lit(float(budget)) if budget is not None else F.col("all_n").cast("double")
-    rate = F.when(F.col("all_w") > 0, want * (F.col("weight") / F.col("all_w")) / F.col("n_docs")).otherwise(F.lit(0.0))
-    return both.crossJoin(F.broadcast(whole)).select("source", "n_docs", rate.alias("rate"))
+    given = weights.select(F.coalesce("source", F.lit(NONE)).alias("source"), "weight")
+    both = source_sizes(docs).join(given, "source", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
+    whole = both.agg(F.sum("weight").alias("w"), F.sum("n_docs").alias("n")).first()
+    want = float(whole["n"] or 0) if budget is None else float(budget)
+    rate = F.lit(want) * (F.col("weight") / F.lit(whole["w"])) / F.col("n_docs") if whole["w"] else F.lit(0.0)
+    return both.select("source", "n_docs", rate.alias("rate"))
 
 
 def mix(docs: DataFrame, weights: DataFrame, budget: float | None = None, seed: int = SEED) -> DataFrame:

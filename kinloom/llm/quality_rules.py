@@ -1,7 +1,7 @@
 """Quality rules as weak supervision.
 
 Each rule votes good (1), bad (0) or abstains.  The distinct vote patterns of all documents are
-counted (3^rules of them at most), expectation-maximisation on the counts estimates how often each
+counted (3^rules of them at most: 177,147), expectation-maximisation on the counts estimates how often each
 rule votes which way on good and on bad documents, and a document is kept by its posterior
 probability of being good.
 """
@@ -18,8 +18,10 @@ from kinloom.llm.text_stats import with_counts
 
 ROUNDS = 60
 KEEP_FROM = 0.5
-#: Pseudo-counts that keep a rule's estimates off 0 and 1, in documents.
-PRIOR = 2.0
+#: What rules are taken to do before any vote is seen: P(vote bad) on good and on bad documents.
+ALARM, HIT = 0.02, 0.4
+#: Weight of that prior as a share of the documents, and in documents at least.
+STRENGTH, LEAST_PRIOR = 0.2, 2.0
 
 
 @dataclass
@@ -45,31 +47,33 @@ def default_rules() -> list[Rule]:
         Rule("repeats", (F.col("n_words") >= 20) & (per("n_repeat_words", "n_words") < 0.05), per("n_repeat_words", "n_words") > 0.3),
         Rule("letters", per("n_letter_words", "n_words") >= 0.9, some & (per("n_letter_words", "n_words") < 0.7)),
         Rule("capitals", (F.col("n_lower") > 0) & (F.col("n_upper") < 0.2 * F.col("n_lower")), F.col("n_upper") > F.col("n_lower")),
+        Rule("letter_share", some & (per("n_letters", "word_chars") >= 0.9), some & (per("n_letters", "word_chars") < 0.8)),
+        Rule("short_words", (F.col("n_words") >= 20) & per("n_short_words", "n_words").between(0.15, 0.6), (F.col("n_words") >= 20) & ~per("n_short_words", "n_words").between(0.1, 0.7)),
+        Rule("bars", some & (F.col("n_bars") == 0), per("n_bars", "n_words") > 0.2),
         Rule("line_ends", (F.col("n_lines") > 0) & (per("n_ended_lines", "n_lines") > 0.6), (F.col("n_lines") > 2) & (per("n_ended_lines", "n_lines") < 0.1)),
     ]
 
 
-def estimate(patterns: list[list[int]], counts: list[int], rounds: int = ROUNDS, prior: float = PRIOR) -> tuple[float, np.ndarray]:
+def estimate(patterns: list[list[int]], counts: list[int], rounds: int = ROUNDS, alarm: float = ALARM, hit: float = HIT, strength: float = STRENGTH) -> tuple[float, np.ndarray]:
     """EM over vote patterns: the share of good documents and P(vote | class) as [class, rule, vote].
 
-    Starts from 80 percent good and rules that are right 8 times in 10 when they vote, which fixes
-    which class is called good.
+    Starts from 80 percent good documents and rules that seldom vote bad on good documents
+    (``alarm``) and often enough on bad ones (``hit``): each rule looks for one kind of fault, so
+    most are silent on any one bad document.  The start is kept as a prior that weighs as much as
+    ``strength`` times the documents.
     """
     votes, weight = np.array(patterns), np.array(counts, float)
-    m = votes.shape[1]
-    given = np.zeros((2, m, 3))
-    abstain = np.array([(weight * (votes[:, j] == 2)).sum() / weight.sum() for j in range(m)])
-    for c in (0, 1):
-        given[c, :, c], given[c, :, 1 - c], given[c, :, 2] = 0.8 * (1 - abstain), 0.2 * (1 - abstain), abstain
-    start = given.copy()
-    good = 0.8
+    m, total = votes.shape[1], weight.sum()
+    abstain = np.array([(weight * (votes[:, j] == 2)).sum() / total for j in range(m)])
+    start = np.array([[bad * (1 - abstain), (1 - bad) * (1 - abstain), abstain] for bad in (hit, alarm)]).transpose(0, 2, 1)
+    given, good, prior = start.copy(), 0.8, max(LEAST_PRIOR, strength * total)
     for _ in range(rounds):
         post = posterior(votes, good, given)
         for c, p in ((0, 1 - post), (1, post)):
             for v in range(3):
                 given[c, :, v] = ((weight * p)[:, None] * (votes == v)).sum(axis=0) + prior * start[c, :, v]
             given[c] /= given[c].sum(axis=1, keepdims=True)
-        good = ((weight * post).sum() + 0.8 * prior) / (weight.sum() + prior)
+        good = ((weight * post).sum() + 0.8 * prior) / (total + prior)
     return float(good), given
 
 

@@ -100,15 +100,21 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int =
     """Spans of at least ``min_words`` words whose chunks occur in other documents too.
 
     Returns doc_id, start, size (bytes of the text's UTF-8), n_words, n_chunks, n_repeats (its
-    chunks that a smaller doc_id has too), first_doc_id (the smallest doc_id that shares a chunk of
-    the span) and most_docs (the largest number of rows that share one).  Spans end at chunk
+    chunks that a smaller doc_id has too), first_doc_id (of the smallest doc_ids that have its
+    chunks, the one with most of the span) and most_docs (the largest number of rows that share one).  Spans end at chunk
     borders, so a shared passage is found up to some tens of bytes at its ends.  Null and empty
     texts and rows without a doc_id have no spans; rows that repeat a doc_id count as one
     document; an empty table gives an empty result.  Other columns are not read.
     """
-    return _runs(_shared_chunks(docs, cut_bits), min_words).groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_chunks"),
-        F.count_if(F.col("first_doc_id") < F.col("doc_id")).alias("n_repeats"), F.min("first_doc_id").alias("first_doc_id"), F.max("n").alias("most_docs"),
+    runs = _runs(_shared_chunks(docs, cut_bits), min_words)
+    # a chunk may be in some other document by chance, so the first document is the one that has most of the span
+    by_first = runs.groupBy("doc_id", "run", "first_doc_id").agg(
+        F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_chunks"), F.max("n").alias("most_docs"),
+    )
+    return by_first.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("n_words").alias("n_words"), F.sum("n_chunks").alias("n_chunks"),
+        F.sum(F.when(F.col("first_doc_id") < F.col("doc_id"), F.col("n_chunks")).otherwise(0)).alias("n_repeats"),
+        F.min_by("first_doc_id", F.struct(-F.col("size"), F.col("first_doc_id"))).alias("first_doc_id"), F.max("most_docs").alias("most_docs"),
     ).drop("run")
 
 

@@ -14,7 +14,7 @@ SYMBOLS = b"#*$%&|<>"
 GRAM = 8
 COUNTS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_upper", "n_lower", "n_digits",
-    "n_bars", "n_bangs", "n_stops", "n_short_words", "n_letter_words", "n_ended_lines", "n_repeat_once", "longest_word",
+    "n_bars", "n_bangs", "n_stops", "n_short_words", "n_letter_words", "n_ended_lines", "n_repeat_once", "longest_word", "n_letters",
 ]
 
 
@@ -92,7 +92,7 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "n_repeat_words": per_doc(covered, doc, n), "n_chars": np.diff(head[offsets]), "n_lines": per_doc(np.ones(len(ls)), ld, n),
         "n_upper": in_doc(UPPER[data]), "n_lower": in_doc(LOWER[data]), "n_digits": in_doc(DIGIT[data]), "n_bars": in_doc(data == 0x7C), "n_bangs": in_doc(data == 0x21),
         "n_stops": in_doc(STOP[data]), "n_short_words": per_doc(in_word <= 3, doc, n), "n_letter_words": per_doc(word_letters[ends] > word_letters[starts], doc, n),
-        "n_ended_lines": per_doc(END[data[last]] if len(ls) else copies, ld, n), "n_repeat_once": per_doc(once, doc, n), "longest_word": longest,
+        "n_ended_lines": per_doc(END[data[last]] if len(ls) else copies, ld, n), "n_repeat_once": per_doc(once, doc, n), "longest_word": longest, "n_letters": in_doc(LETTER[data]),
     }
 
 
