@@ -23,11 +23,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def _with_minimum(rows: DataFrame) -> DataFrame:
     """Add m, the smallest of u and its v's, to rows (u, v), without one hub's rows meeting in one task."""
     least = cut_lineage(rows.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
-    total = least.agg(F.sum("n")).first()[0] or 0
-    limit = max(HUB_LEAST, -(-total // HUB_SHARE))
-    hubs = least.where(F.col("n") >= limit).select("u", "m")
-    if hubs.isEmpty():
+    total, most = least.agg(F.sum("n"), F.max("n")).first()
+    limit = max(HUB_LEAST, -(-(total or 0) // HUB_SHARE))
+    if (most or 0) < limit:
         return rows.join(least.select("u", "m"), "u")
+    hubs = least.where(F.col("n") >= limit).select("u", "m")
     rest = least.where(F.col("n") < limit).select("u", "m")
     hot = rows.join(F.broadcast(hubs), "u")
     return hot.unionByName(rows.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(rest, "u"))
@@ -44,7 +44,7 @@ def connected_components(edges: DataFrame, source: str = "source", target: str =
     stars = cut_lineage(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
-        both = cut_lineage(stars.select("u", "v").union(stars.select("v", "u")))
+        both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every larger neighbour is hung to the smallest neighbour
         large = cut_lineage(_with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: smaller neighbours, and the node itself, are hung to the smallest
