@@ -22,9 +22,10 @@ from kinloom.llm._text import BASE, SLICE_BYTES, mixed, powers, slices
 
 LEARN_FROM = 12_000
 ROUNDS = 3
-LONGEST_PIECE = 12
 #: A longer run of letters is scored as consecutive words of this many bytes.
 LONGEST_WORD = 48
+#: A whole word with its leading space, so no piece that a word can use is left out.
+LONGEST_PIECE = LONGEST_WORD + 1
 #: A task forgets the words it has met beyond so many (memory, not results).
 REMEMBER = 300_000
 UNKNOWN = "und"
@@ -84,7 +85,7 @@ class Pieces:
         codes = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1).astype(np.uint64)
         n, size = codes.shape
         sums = _prefix_sums(codes)
-        out = np.full((n, size + 1, LONGEST_PIECE), -1, np.int32)
+        out = np.full((n, size + 1, min(size, LONGEST_PIECE)), -1, np.int32)
         for length, (key, number) in self.by_length.items():
             if length <= size:
                 k = _keys(sums, length)
