@@ -2,47 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: A key is "heavy" from 1/HEAVY_SHARE of all rows on, so at most HEAVY_SHARE keys are.
-HEAVY_SHARE = 1024
-HEAVY_LEAST = 200
-
+from kinloom.operators.skew import cut_lineage as checkpointed, lookup, quoted, unused_names
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` into the folder the session names (a temporary one only if none is set)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kinloom-checkpoint-"))
-    return df.checkpoint()
+__all__ = ["checkpointed", "held_out", "learning_rows", "lookup", "quoted", "table", "unused_names"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lookup(rows: DataFrame, entries: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
-    """Join ``rows`` to ``entries``, which has one row per key, without one key meeting in one task.
-
-    ``entries[weight]`` is the number of ``rows`` with that key.  Keys that hold 1/1024 of all
-    rows or more (1024 keys at most, by arithmetic) are broadcast; all others go through an
-    ordinary shuffled join, where no key holds more than that share.  ``rows`` is read twice, so
-    callers hand in a checkpoint or something as cheap.  Keys must not be null in ``entries``.
-    """
-    total, most = entries.agg(F.sum(weight), F.max(weight)).first()
-    limit = max(HEAVY_LEAST, -(-(total or 0) // HEAVY_SHARE))
-    if (most or 0) < limit:
-        return rows.join(entries, keys, how)
-    heavy = entries.where(F.col(weight) >= limit)
-    ids = heavy.select(*keys)
-    hot = rows.join(F.broadcast(heavy), keys, "inner")
-    rest = rows.join(F.broadcast(ids), keys, "left_anti").join(entries.where(F.col(weight) < limit), keys, how)
-    return hot.unionByName(rest)
-
-
 def held_out(doc_id) -> F.Column:
     """True for the rows that no model learns from: crc32 of the id's text is divisible by 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from kinloom.llm._text import lines, mixed, per_doc, powers, slices, span_hashes, words
+from kinloom.llm._text import appended, doc_sums, lines, per_doc, span_names, span_sums, words
 
 SYMBOLS = b"#*$%&|<>"
 GRAM = 8
@@ -28,6 +25,7 @@ SYMBOL, STOP = _marks(SYMBOLS), _marks(b".,;:?")
 UPPER, LOWER, DIGIT = _marks(bytes(range(0x41, 0x5B))), _marks(bytes(range(0x61, 0x7B))), _marks(bytes(range(0x30, 0x3A)))
 LETTER = UPPER | LOWER | (np.arange(256) >= 0xC3)
 END = _marks(b".!?")
+FIRST_BYTE = (np.arange(256) & 0xC0) != 0x80
 
 
 def _later_copies(keys: np.ndarray) -> np.ndarray:
@@ -39,77 +37,80 @@ def _later_copies(keys: np.ndarray) -> np.ndarray:
     return again
 
 
-def _repeated(keys: np.ndarray) -> np.ndarray:
-    """True where a value occurs twice or more, the first time included."""
-    order = np.argsort(keys, kind="stable")
-    value = keys[order]
-    same = value[1:] == value[:-1]
-    twice = np.zeros(len(keys), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    return twice
+def _repeated_windows(names: np.ndarray, count: int, doc: np.ndarray) -> np.ndarray:
+    """The places whose GRAM words from there on occur twice or more in their text, the first time included.
+
+    Windows are sorted by a hash and then compared word by word with the one before them, so equal
+    hashes of different windows cost time and count for nothing.
+    """
+    places = np.arange(len(names) - GRAM + 1)
+    places = places[doc[places] == doc[places + GRAM - 1]]
+    if not len(places):
+        return places
+    chance = np.random.default_rng(0)
+    luck = chance.integers(0, 1 << 64, count, np.uint64)[names]
+    factors = chance.integers(0, 1 << 63, GRAM + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+    hashes = doc[places].astype(np.uint64) * factors[GRAM]
+    for k in range(GRAM):
+        hashes += luck[places + k] * factors[k]
+    order = np.argsort(hashes, kind="stable")
+    alike = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    a, b = places[order[alike]], places[order[alike + 1]]
+    equal = doc[a] == doc[b]
+    for k in range(GRAM):
+        equal &= names[a + k] == names[b + k]
+    if equal.all():
+        return np.union1d(a, b)
+    # different windows of one hash: compare by all their words
+    some = np.union1d(a, b)
+    columns = np.column_stack([doc[some], *(names[some + k] for k in range(GRAM))])
+    _, inverse, times = np.unique(columns, axis=0, return_inverse=True, return_counts=True)
+    return some[times[inverse.ravel()] > 1]
 
 
 def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The counts of COUNTS for each text.  Lines and 8-word windows are compared by 64-bit hashes within a text."""
+    """The counts of COUNTS for each text.  Lines, words and windows are equal if their bytes are."""
     n = len(offsets) - 1
     starts, ends, doc = words(data, offsets)
-    head = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    in_doc = lambda marked: np.diff(np.concatenate([[0], np.cumsum(marked)])[offsets])
-    in_word = head[ends] - head[starts]
-    word_letters = np.concatenate([[0], np.cumsum(LETTER[data])])
-    salt = mixed(np.arange(n, dtype=np.uint64) + np.uint64(1))
+    first = FIRST_BYTE[data]
+    in_word = span_sums(first, starts, ends)
+    n_chars = doc_sums(first, offsets)
+    del first
+    marked = lambda table: doc_sums(table[data], offsets)
 
     line_start, line_end, line_doc = lines(data, offsets)
-    word_at = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(np.bincount(starts, minlength=len(data))[: len(data)], out=word_at[1:])
-    filled = word_at[line_end] > word_at[line_start]
+    words_before = np.searchsorted(starts, line_end)
+    filled = words_before > np.searchsorted(starts, line_start)
     ls, le, ld = line_start[filled], line_end[filled], line_doc[filled]
-    copies = _later_copies(span_hashes(data, ls, le) ^ salt[ld]) if len(ls) else np.zeros(0, bool)
+    line_names, line_count = span_names(data, ls, le)
+    copies = _later_copies(ld * line_count + line_names)
     # the last word's last byte tells how a line ends
-    last = ends[np.maximum(word_at[le] - 1, 0)] - 1 if len(ls) else np.zeros(0, np.int64)
+    last = ends[words_before[filled] - 1] - 1
 
+    names, count = span_names(data, starts, ends)
+    hit = _repeated_windows(names, count, doc)
     covered = np.zeros(len(starts), bool)
-    hashes = span_hashes(data, starts, ends)
-    if len(starts) >= GRAM:
-        places = np.arange(len(starts) - GRAM + 1)
-        power, _ = powers(GRAM + 1, 0xC2B2AE3D27D4EB4F)
-        window = sum(hashes[k : len(places) + k] * power[k + 1] for k in range(GRAM))
-        whole = doc[places] == doc[places + GRAM - 1]
-        places, window = places[whole], window[whole]
-        if len(places):
-            hit = places[_repeated(mixed(window) ^ salt[doc[places]])]
-            change = np.zeros(len(starts) + 1, np.int64)
-            change[hit] += 1
-            np.subtract.at(change, hit + GRAM, 1)
-            covered = np.cumsum(change[:-1]) > 0
-    once = _later_copies(hashes ^ salt[doc]) if len(starts) else np.zeros(0, bool)
+    if len(hit):
+        # a place is covered if the nearest hit at or before it is less than a window away
+        nearest = np.searchsorted(hit, np.arange(len(starts)), "right") - 1
+        covered = (nearest >= 0) & (np.arange(len(starts)) - hit[np.maximum(nearest, 0)] < GRAM)
+    once = _later_copies(doc * count + names)
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, doc, in_word)
-    ones = np.ones(len(starts))
     return {
-        "n_words": per_doc(ones, doc, n), "word_chars": per_doc(in_word, doc, n), "n_symbols": in_doc(SYMBOL[data]), "n_dup_lines": per_doc(copies, ld, n),
-        "n_repeat_words": per_doc(covered, doc, n), "n_chars": np.diff(head[offsets]), "n_lines": per_doc(np.ones(len(ls)), ld, n),
-        "n_upper": in_doc(UPPER[data]), "n_lower": in_doc(LOWER[data]), "n_digits": in_doc(DIGIT[data]), "n_bars": in_doc(data == 0x7C), "n_bangs": in_doc(data == 0x21),
-        "n_stops": in_doc(STOP[data]), "n_short_words": per_doc(in_word <= 3, doc, n), "n_letter_words": per_doc(word_letters[ends] > word_letters[starts], doc, n),
-        "n_ended_lines": per_doc(END[data[last]] if len(ls) else copies, ld, n), "n_repeat_once": per_doc(once, doc, n), "longest_word": longest, "n_letters": in_doc(LETTER[data]),
+        "n_words": np.bincount(doc, minlength=n), "word_chars": per_doc(in_word, doc, n), "n_symbols": marked(SYMBOL), "n_dup_lines": per_doc(copies, ld, n),
+        "n_repeat_words": per_doc(covered, doc, n), "n_chars": n_chars, "n_lines": np.bincount(ld, minlength=n),
+        "n_upper": marked(UPPER), "n_lower": marked(LOWER), "n_digits": marked(DIGIT), "n_bars": doc_sums(data == 0x7C, offsets), "n_bangs": doc_sums(data == 0x21, offsets),
+        "n_stops": marked(STOP), "n_short_words": per_doc(in_word <= 3, doc, n), "n_letter_words": per_doc(span_sums(LETTER[data], starts, ends) > 0, doc, n),
+        "n_ended_lines": per_doc(END[data[last]], ld, n), "n_repeat_once": per_doc(once, doc, n), "longest_word": longest, "n_letters": marked(LETTER),
     }
 
 
 def with_counts(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The columns ``carry`` of ``docs`` and the counts of the whole text (long); null text counts as empty."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = T.StructType([*(docs.schema[c] for c in carry), *(T.StructField(c, T.LongType()) for c in COUNTS)])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in slices(batch, "__text"):
-                counts = text_counts(data, offsets)
-                kept = [part.column(i).cast(arrow.field(i).type) for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(np.asarray(counts[c]).astype(np.int64)) for c in COUNTS)], schema=arrow)
 
-    from pyspark.sql import functions as F
+    def counted(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        counts = text_counts(data, offsets)
+        return [counts[c].astype(np.int64) for c in COUNTS]
 
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return appended(docs, carry, [T.StructField(c, T.LongType()) for c in COUNTS], counted)
