@@ -5,22 +5,25 @@ blocks are sorted and named by integers; then adjacent names are paired, the dis
 sorted and named in turn, and so on until one name is left of each document.  (round, name) is an
 identity: two documents share it exactly if their texts are equal.
 
-Sorting is by (hash, content).  Blocks travel to the sort once, after a map-side combine; the name
-table then carries hashes, not contents, because the sort has shown that a hash stands for one
-content only.  Where a hash stands for several contents, those blocks are named and joined by
-content, so a collision costs time and never merges two texts.
+Blocks are grouped by (hash, content) once, after a map-side combine, which tells how many contents
+a hash stands for.  A hash that stands for one content only takes that content's place: hashes are
+sorted and named, so the name table carries no contents.  Where a hash stands for several contents,
+those blocks are sorted, named and joined by content, so a collision costs time and never merges
+two texts.  Repeated rows of one (doc_id, length, SHA-256) are put together before naming.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinloom.llm._spark import checkpointed, lookup
+from kinloom.llm._spark import checkpointed, lookup, quoted, unused_names
 
 BLOCK_BYTES = 4096
 #: Names are sorted within this many hash ranges, so no sort holds all blocks.
 RANGES = 4096
 KEY = ["doc_id", "n_chars", "text_sha256"]
+#: Keys of dropped rows (about 100 bytes each) are broadcast up to so many.
+BROADCAST_DROPPED = 200_000
 
 
 def squeezed(text: Column) -> Column:
@@ -109,21 +112,33 @@ def _by_content(cut: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group of equal texts, with all columns.
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all columns as they are.
 
-    Extra columns pass through, whatever their names.  Rows that repeat both doc_id and text
-    differ at most in other columns; any one of them stays.
+    Extra columns pass through, whatever their names and values; doc_id and text must be there.
+    Null texts count as empty, and empty texts are one group; a null doc_id is an id of its own.
+    Rows that repeat both doc_id and text differ at most in other columns; any one of them stays.
+    Texts of any length are compared whole.  An empty table gives an empty result.  A row is found
+    again by (doc_id, length, SHA-256 of the text without white space), not by its name.
+
+    Only the keys of dropped rows travel to the documents while they are few; beyond
+    BROADCAST_DROPPED of them the documents are shuffled.
     """
-    tag = {"__kl_id": F.col("doc_id"), "__kl_n": F.length(F.coalesce("text", F.lit(""))).cast("long"), "__kl_sha": F.sha2(squeezed(F.col("text")).cast("binary"), 256)}
     groups = exact_groups(docs.select("doc_id", "text"))
-    kept = groups.where("kept").select(F.col("doc_id").alias("__k_id"), F.col("n_chars").alias("__k_n"), F.col("text_sha256").alias("__k_sha"))
-    same = [F.col(f"__kl_{c}").eqNullSafe(F.col(f"__k_{c}")) for c in ("id", "n", "sha")]
-    held = docs.withColumns(tag).join(kept, same, "left_semi")
+    key = unused_names(docs, "id_", "chars_", "sha_", "lost_", "also_kept_")
+    lost = checkpointed(groups.groupBy(*KEY).agg(F.count_if(~F.col("kept")).alias("lost"), F.count_if("kept").alias("kept")).where("lost > 0"))
+    lost = lost.select(*[F.col(c).alias(k) for c, k in zip(KEY, key, strict=False)], F.lit(True).alias(key[3]), (F.col("kept") > 0).alias(key[4]))
+    if lost.limit(BROADCAST_DROPPED + 1).count() <= BROADCAST_DROPPED:
+        lost = F.broadcast(lost)
+    own = [F.col("doc_id"), F.length(F.coalesce("text", F.lit(""))).cast("long"), F.sha2(squeezed(F.col("text")).cast("binary"), 256)]
+    # the documents' key lies in names of its own beside the join, so that no user's column is touched
+    mine = unused_names(docs, "own_id_", "own_chars_", "own_sha_")
+    tagged = docs.withColumns(dict(zip(mine, own, strict=True)))
+    joined = tagged.join(lost, [F.col(m).eqNullSafe(F.col(k)) for m, k in zip(mine, key, strict=False)], "left")
+    stay = joined.where(F.col(key[3]).isNull())
     # only rows that repeat (doc_id, text) need another look; the first of them stays
-    twice = groups.groupBy(*KEY).count().where("count > 1").select(F.col("doc_id").alias("__k_id"), F.col("n_chars").alias("__k_n"), F.col("text_sha256").alias("__k_sha"))
-    if not twice.isEmpty():
-        held = held.join(twice, same, "left_anti").unionByName(held.join(twice, same, "left_semi").dropDuplicates(list(tag)))
-    return held.select(*docs.columns)
+    if not lost.where(key[4]).isEmpty():
+        stay = stay.unionByName(joined.where(key[4]).dropDuplicates(mine))
+    return stay.select(*map(quoted, docs.columns))
 
 
 ORACLE = r"""

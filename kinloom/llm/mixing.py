@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinloom.llm._spark import checkpointed
+from kinloom.llm._spark import checkpointed, quoted, unused_names
 
 SEED = 17
 #: Above this rate a Poisson variable is summed from parts of at most this mean, to keep exp() away from 0.
@@ -48,47 +48,55 @@ def source_sizes(docs: DataFrame) -> DataFrame:
     return checkpointed(docs.groupBy(F.coalesce("source", F.lit(NONE)).alias("source")).agg(F.count("*").alias("n_docs")))
 
 
-def temperature_weights(docs: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """(source, weight): shares in proportion to n^alpha, which lifts small sources."""
-    powers = source_sizes(docs).select("source", F.pow("n_docs", F.lit(alpha)).alias("p"))
+def temperature_weights(sizes: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """(source, weight) from ``source_sizes``: shares in proportion to n^alpha, which lifts small sources."""
+    powers = sizes.select("source", F.pow("n_docs", F.lit(alpha)).alias("p"))
     total = powers.agg(F.sum("p")).first()[0]
     return powers.select("source", (F.col("p") / F.lit(total)).alias("weight"))
 
 
-def repetition_rates(docs: DataFrame, weights: DataFrame, budget: float | None = None) -> DataFrame:
-    """(source, n_docs, rate); ``budget`` is the number of documents wanted, as many as there are by default.
+def repetition_rates(sizes: DataFrame, weights: DataFrame, budget: float | None = None) -> DataFrame:
+    """(source, n_docs, rate) from ``source_sizes``; ``budget`` is the number of documents wanted, as many as there are by default.
 
     Weights are scaled to sum to 1 over the sources that have documents; a source without a
-    weight gets rate 0.
+    weight gets rate 0, and so does one whose weight is negative.
     """
     given = weights.select(F.coalesce("source", F.lit(NONE)).alias("source"), "weight")
-    both = source_sizes(docs).join(given, "source", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
+    both = sizes.join(given, "source", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
     whole = both.agg(F.sum("weight").alias("w"), F.sum("n_docs").alias("n")).first()
     want = float(whole["n"] or 0) if budget is None else float(budget)
     rate = F.lit(want) * (F.col("weight") / F.lit(whole["w"])) / F.col("n_docs") if whole["w"] else F.lit(0.0)
     return both.select("source", "n_docs", rate.alias("rate"))
 
 
-def mix(docs: DataFrame, weights: DataFrame, budget: float | None = None, seed: int = SEED) -> DataFrame:
-    """Replicate the documents to the target weights and shuffle them globally.
+def mix(docs: DataFrame, weights: DataFrame | None = None, budget: float | None = None, seed: int = SEED, into: str = "mixed") -> DataFrame:
+    """Replicate the documents to the target weights (``temperature_weights`` by default) and shuffle them globally.
 
-    Returns the columns of ``docs`` and __copy (1..), __copies, __rate, __place (the sort key of
-    the shuffle).  A null source is a source of its own, named ''.  Rows that repeat a doc_id get
-    the same count each; a null doc_id hashes as ''.  Null or empty texts count like any other.
-    An empty table gives an empty result.  A rate above 16 is drawn as a sum of equal parts of
-    at most 16, so the counts stay Poisson at any rate.
+    Returns the columns of ``docs`` as they are, whatever their names, and one more, a struct
+    named ``into`` (which must be no column of ``docs``): copy (1..), copies, rate, place (the
+    sort key of the shuffle).  A null source is a source of its own, named ''.  Rows that repeat a
+    doc_id get the same count each; a null doc_id hashes as ''.  Null, empty and very long texts
+    count like any other.  An empty table gives an empty result.  A rate above 16 is drawn as a
+    sum of equal parts of at most 16, so the counts stay Poisson at any rate.
     """
-    rates = repetition_rates(docs, weights, budget).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    if unused_names(docs, into) != [into]:
+        raise ValueError(f"{into} is a column already")
+    key, rate, counted, copy = unused_names(docs, "source_", "rate_", "copies_", "copy_")
+    sizes = source_sizes(docs)
+    weights = temperature_weights(sizes) if weights is None else weights
+    rates = repetition_rates(sizes, weights, budget).select(F.col("source").alias(key), F.col("rate").alias(rate))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    rated = docs.withColumn("__source", F.coalesce("source", F.lit(NONE))).join(rates, "__source").drop("__source")
+    own = [F.col(quoted(c)) for c in docs.columns]
+    rated = docs.select(*own, F.coalesce("source", F.lit(NONE)).alias(key)).join(rates, key).select(*own, rate)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / PART)).cast("int")
-    draw = lambda j: poisson_inverse(uniform(F.lit(str(seed)), name, j.cast("string")), F.col("__rate") / parts)
+    parts = F.greatest(F.lit(1), F.ceil(F.col(rate) / PART)).cast("int")
+    draw = lambda j: poisson_inverse(uniform(F.lit(str(seed)), name, j.cast("string")), F.col(rate) / parts)
     count = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda total, j: total + draw(j))
-    copies = rated.withColumn("__copies", count).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))
-    placed = copies.withColumn("__place", F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("place"), name, F.col("__copy").cast("string"))))
-    return placed.repartition("__place").sortWithinPartitions("__place")
+    copies = rated.select(*own, rate, count.alias(counted)).where(F.col(counted) > 0).select(*own, rate, counted, F.explode(F.sequence(F.lit(1), F.col(counted))).alias(copy))
+    place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("place"), name, F.col(copy).cast("string")))
+    placed = copies.select(*own, F.struct(F.col(copy).alias("copy"), F.col(counted).alias("copies"), F.col(rate).alias("rate"), place.alias("place")).alias(into))
+    return placed.repartition(f"{into}.place").sortWithinPartitions(f"{into}.place")
 
 
 ORACLE = """

@@ -162,18 +162,19 @@ def _schema(doc_id: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("doc_id", doc_id), *(T.StructField(n, long) for n in ("doc_tokens", "start", "length")), T.StructField("ids", T.BinaryType()), T.StructField("sequence_id", long), T.StructField("offset", long), T.StructField("open", T.BooleanType())])
 
 
-def pack(docs: DataFrame, window: int = WINDOW, most_open: int = OPEN, vocabulary: str | None = None, fan_in: int = FAN_IN, special_tokens: Mapping[str, int] | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, most_open: int = OPEN, vocabulary: str | None = None, fan_in: int = FAN_IN, special_tokens: Mapping[str, int] = SPECIAL_TOKENS) -> DataFrame:
     """Pack all documents (doc_id, text) into sequences of at most ``window`` tokens.
 
     Returns one row per piece: doc_id, doc_tokens, start, length, ids (unsigned 32-bit, little
     endian), sequence_id, offset.  A document is its text's ids and then id 1; null text counts
     as empty, so it has id 1 alone.  The strings of ``special_tokens`` are one id each wherever they
-    stand in a text, as ``tokenizers`` has it by default; without them they are ordinary text.  Rows that repeat a doc_id are packed as documents of their
-    own.  An empty table gives an empty result.  Other columns are not read.
+    stand in a text, as ``tokenizers`` has it by default; with none given they are ordinary text.
+    Texts of any length are encoded whole.  Rows that repeat a doc_id are packed as documents of
+    their own.  An empty table gives an empty result.  Other columns are not read.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    path, special = vocabulary or vocabulary_path(), dict(special_tokens or {})
+    path, special = vocabulary or vocabulary_path(), dict(special_tokens)
     schema = _schema(docs.schema["doc_id"].dataType)
     arrow = to_arrow_schema(schema)
 
@@ -184,7 +185,7 @@ def pack(docs: DataFrame, window: int = WINDOW, most_open: int = OPEN, vocabular
         for batch in batches:
             for part, _, _ in slices(batch):
                 done = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for text, doc_id in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = np.append(encode(text or "").astype("<u4"), np.array([END], "<u4"))
                     for pieces in packer.add((doc_id, len(ids)), 0, ids):
                         done.append((sequence, pieces))
@@ -197,7 +198,7 @@ def pack(docs: DataFrame, window: int = WINDOW, most_open: int = OPEN, vocabular
         yield _rows(done, False, arrow)
         yield _rows([(task << 32, w[1]) for w in packer.open], True, arrow)
 
-    pieces = checkpointed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(local, schema))
+    pieces = checkpointed(docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id").mapInArrow(local, schema))
     result = pieces.where("not open").drop("open")
     left = pieces.where("open")
     # the leftovers' tasks, in bounded groups, until one group is left

@@ -24,10 +24,9 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mixing.mix(docs, mixing.temperature_weights(docs))
-    return mixed.select(
-        "doc_id", "source", F.round("__rate", 6).alias("rate"), F.col("__copies").alias("copies"), F.col("__copy").alias("copy"),
-        F.col("__place").alias("place"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"),
+    return mixing.mix(docs).select(
+        "doc_id", "source", F.round("mixed.rate", 6).alias("rate"), "mixed.copies", "mixed.copy", "mixed.place",
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"),
     )
 
 
@@ -45,7 +44,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), special_tokens=packing.SPECIAL_TOKENS)
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -12,14 +12,15 @@ different fingerprints can be left in one.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from kinloom.llm._spark import checkpointed, lookup
-from kinloom.llm._text import slices
+from kinloom.llm._spark import checkpointed, lookup, unused_names
+from kinloom.llm._text import appended
 from kinloom.operators.components import connected_components
 
 RADIUS = 2
@@ -27,42 +28,57 @@ SHINGLE = 3
 SEED = 42
 MOST_IN_TREE = 256
 SPLITS = 5
-
-
-def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Majority bits of the shingles' hashes; 0 without words."""
+#: Bytes of words held at a time.
+BLOCK = 1 << 20
+SPACE = re.compile(rb"[ \t\n\v\f\r]")
+#: doc_ids (8 bytes each) are broadcast up to so many.
+BROADCAST_DROPPED = 1_000_000
+
+
+def word_blocks(text: bytes, most: int = BLOCK) -> Iterator[list[bytes]]:
+    """The words of a text in lists of about ``most`` bytes, so that a very long text is never a list of all its words."""
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > most:
+            space = SPACE.search(text, at + most)
+            end = space.start() if space else end
+        yield text[at:end].split()
+        at = end
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Majority bits of the hashes of a lower-case text's shingles; 0 without words."""
     import xxhash
 
-    if not words:
-        return 0
-    n = len(words) - shingle + 1
     digest = xxhash.xxh64_intdigest
-    if n <= 1:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*(words[i : n + i] for i in range(shingle)), strict=True))
-    total, votes = 0, np.zeros(64, np.int64)
-    # eight million bits at a time, so a very long text needs no more memory
-    hashes = np.fromiter((digest(g, seed) for g in grams), np.uint64)
-    for start in range(0, len(hashes), 1 << 17):
-        some = hashes[start : start + (1 << 17)]
-        votes += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        total += len(some)
+    total, votes, before = 0, np.zeros(64, np.int64), []
+    for found in word_blocks(text):
+        words = before + found
+        n = len(words) - shingle + 1
+        if n > 0:
+            # eight million bits at a time
+            hashes = np.fromiter((digest(g, seed) for g in map(b" ".join, zip(*(words[i : n + i] for i in range(shingle)), strict=True))), np.uint64)
+            for start in range(0, len(hashes), 1 << 17):
+                some = hashes[start : start + (1 << 17)]
+                votes += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            total += len(hashes)
+        before = words[-(shingle - 1) :] if shingle > 1 else []
+    if not total and before:
+        whole = digest(b" ".join(before), seed)
+        return whole
     return int(sum(1 << i for i in np.flatnonzero(2 * votes > total).tolist()))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long.  Null text has no words, so fp 0."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, carry: list[str] | None = None, name: str = "fp") -> DataFrame:
+    """The columns ``carry`` (doc_id by default) and the fingerprint's 64 bits as a signed long.  Null text has no words, so 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in slices(batch):
-                text = data.tobytes().lower()  # of bytes: A-Z alone
-                prints = [fingerprint(text[a:b].split(), shingle, seed) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+    def made(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        text = data.tobytes().lower()  # of bytes: A-Z alone
+        prints = [fingerprint(text[a:b], shingle, seed) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        return [np.array(prints, np.uint64).view(np.int64)]
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return appended(docs, ["doc_id"] if carry is None else carry, [T.StructField(name, T.LongType())], made)
 
 
 def part_masks(splits: int = SPLITS) -> list[dict[int, tuple[int, list[int]]]]:
@@ -175,28 +191,59 @@ def links(prints: DataFrame, radius: int = RADIUS, most: int = MOST_IN_TREE) ->
     return checkpointed(found)
 
 
+def _grouped(docs: DataFrame, radius: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, n, component, component_id) of each fingerprint; component is the smallest fp linked."""
+    made = checkpointed(fingerprints(docs))
+    prints = checkpointed(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    nodes = checkpointed(connected_components(links(prints, radius, most), "a", "b"))
+    joined = prints.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
+    joined = checkpointed(joined)
+    least = checkpointed(joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m")))
+    return made, checkpointed(lookup(joined, least, ["component"], "m", "inner").select("fp", "n", "component", "component_id"))
+
+
 def near_groups(docs: DataFrame, radius: int = RADIUS, most: int = MOST_IN_TREE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, fp, fingerprint, component_id.
 
     component_id is the smallest doc_id that links of at most ``radius`` differing bits reach.
     Texts without words (null and empty ones too) have fingerprint 0 and are linked like any
     other.  A null doc_id never names a component, unless all of its rows have none: then it is
-    null.  An empty table gives an empty result.  Other columns are not read.
+    null.  Very long texts are read whole, a block of words at a time.  An empty table gives an
+    empty result.  Other columns are not read.
     """
-    made = checkpointed(fingerprints(docs))
-    prints = checkpointed(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    nodes = checkpointed(connected_components(links(prints, radius, most), "a", "b"))
-    joined = prints.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
-    joined = checkpointed(joined)
-    least = checkpointed(joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m")))
-    named = checkpointed(lookup(joined, least, ["component"], "m", "inner").select("fp", "n", "component_id"))
+    made, named = _grouped(docs, radius, most)
     out = lookup(made, named, ["fp"], "n", "inner")
     return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: those whose doc_id names their group; rows without a doc_id always stay."""
-    groups = near_groups(docs.select("doc_id", "text"))
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    held = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return held if groups.where("doc_id is null").isEmpty() else held.unionByName(docs.where("doc_id is null"))
+def drop_near_copies(docs: DataFrame, radius: int = RADIUS, most: int = MOST_IN_TREE) -> DataFrame:
+    """One row of each group of linked fingerprints, with all columns as they are, whatever their names.
+
+    The row with the smallest doc_id stays (a null one only if no row of its group has one), of
+    several with that doc_id the one with the smallest fingerprint, of several with both any one.
+    Null, empty and very long texts are handled as in ``near_groups``; an empty table gives an
+    empty result.
+
+    A row whose doc_id occurs once is found again by it.  Only rows that repeat a doc_id, or have
+    none, get their fingerprint a second time and are found by both.
+    """
+    made, named = _grouped(docs.select("doc_id", "text"), radius, most)
+    grouped = checkpointed(lookup(made, named, ["fp"], "n", "inner").select("doc_id", "fp", "component"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))
+    best = grouped.groupBy("component").agg(first.alias("best")).select("best.doc_id", "best.fp", F.lit(True).alias("stays"))
+    ids = grouped.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("fp").alias("fp"))
+    judged = checkpointed(ids.join(best.groupBy("doc_id").agg(F.max("stays").alias("stays")), "doc_id", "left"))
+    odd = judged.where("rows > 1 or doc_id is null").select("doc_id")
+    # the ids that do not simply stay are the few
+    away, mine, odd_key = unused_names(docs, "away_", "print_", "odd_")
+    others = judged.where("doc_id is not null and (stays is null or rows > 1)").select(F.col("doc_id").alias(away))
+    if others.limit(BROADCAST_DROPPED + 1).count() <= BROADCAST_DROPPED:
+        others = F.broadcast(others)
+    held = docs.where("doc_id is not null").join(others, F.col("doc_id") == F.col(away), "left_anti")
+    if odd.isEmpty():
+        return held
+    again = docs.join(odd.select(F.col("doc_id").alias(odd_key)), F.col("doc_id").eqNullSafe(F.col(odd_key)), "left_semi")
+    again = fingerprints(again, carry=docs.columns, name=mine)
+    wins = best.select(F.col("doc_id").alias(away), F.col("fp").alias(odd_key))
+    again = again.join(wins, F.col("doc_id").eqNullSafe(F.col(away)) & (F.col(mine) == F.col(odd_key)), "left_semi")
+    return held.unionByName(again.dropDuplicates(["doc_id", mine]).drop(mine))

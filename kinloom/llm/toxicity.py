@@ -15,8 +15,8 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from kinloom.llm._spark import held_out, learning_rows
-from kinloom.llm._text import SPACE, slices
+from kinloom.llm._spark import held_out, learning_rows, unused_names
+from kinloom.llm._text import SLICE_BYTES, SPACE, appended, doc_sums, slices
 
 ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 18
@@ -24,6 +24,8 @@ BUCKET_BITS = 18
 LEARN_FROM = 16_000
 FEATURES = 1024
 THRESHOLD = 0.5
+#: Texts scored at a time, so that their values (a row of FEATURES numbers each) stay small.
+ROWS = 256
 MULTIPLIER = np.uint32(0x01000193)
 SPREAD = np.uint32(0x9E3779B1)
 
@@ -32,7 +34,7 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """Code points of each text in lower case (Latin letters), between spaces, and their offsets."""
     flat = data.copy()
     flat[SPACE[flat]] = 0x20
-    starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    starts = np.concatenate([[0], np.cumsum(doc_sums((data & 0xC0) != 0x80, offsets))])
     code = np.frombuffer(flat.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     n = len(offsets) - 1
     # each text gets a space on either side: text i moves up by 2i+1 places
@@ -60,17 +62,48 @@ def gram_buckets(code: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...]
         yield ((mixed * SPREAD) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32), whole
 
 
-def densities(data: np.ndarray, offsets: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
-    """Counts per thousand characters of the chosen n-grams: place[bucket] is a column or -1."""
+def _counts(data: np.ndarray, offsets: np.ndarray, place: np.ndarray, width: int, inner: tuple[int, int] | None = None) -> np.ndarray:
+    """(text, column): how often the chosen n-grams occur; with ``inner`` only those that begin in this range of places."""
     code, starts = characters(data, offsets)
     n = len(offsets) - 1
-    owner = np.repeat(np.arange(n), np.diff(starts))
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
     out = np.zeros(n * width)
     for buckets, whole in gram_buckets(code, starts):
+        if inner:
+            whole[: inner[0]] = whole[inner[1] :] = False
         column = place[buckets]
         hit = np.flatnonzero((column >= 0) & whole)
         out += np.bincount(owner[hit] * width + column[hit], minlength=n * width)
-    return out.reshape(n, width) * (1000.0 / np.maximum(np.diff(starts) - 2, 1))[:, None]
+    return out.reshape(n, width)
+
+
+def blocks(data: np.ndarray, block: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, tuple[int, int], int]]:
+    """One long text in blocks that overlap by the longest n-gram: bytes, the places whose n-grams count, own characters."""
+    overlap, at = max(ORDERS) - 1, 0
+    head = lambda x: (x & 0xC0) != 0x80
+    while at < len(data):
+        stop = at + block
+        while stop < len(data) and not head(data[stop]):
+            stop += 1
+        stop = min(stop, len(data))
+        # a few characters more, of four bytes at most, end the n-grams that begin before stop
+        after = np.flatnonzero(head(data[stop : stop + 4 * (overlap + 1)]))
+        end = stop + int(after[overlap]) if len(after) > overlap else len(data)
+        own = int(np.count_nonzero(head(data[at:stop])))
+        # place 0 is the space before the block: the text's own for the first block alone
+        yield data[at:end], (0 if at == 0 else 1, 1 << 62 if stop == len(data) else own + 1), own
+        at = stop
+
+
+def densities(data: np.ndarray, offsets: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+    """Counts per thousand characters of the chosen n-grams: place[bucket] is a column or -1."""
+    if len(offsets) == 2 and len(data) > 2 * SLICE_BYTES:
+        counts, size = np.zeros((1, width)), 0
+        for part, inner, own in blocks(data):
+            counts, size = counts + _counts(part, np.array([0, len(part)]), place, width, inner), size + own
+        return counts * (1000.0 / size)
+    sizes = doc_sums((data & 0xC0) != 0x80, offsets)
+    return _counts(data, offsets, place, width) * (1000.0 / np.maximum(sizes, 1))[:, None]
 
 
 class Model:
@@ -93,14 +126,18 @@ def _class_densities(sample: DataFrame) -> DataFrame:
         sums = np.zeros((2, 1 << BUCKET_BITS))
         for batch in batches:
             for part, data, offsets in slices(batch):
-                code, starts = characters(data, offsets)
-                y = np.asarray(part.column(1))
-                weight = np.repeat(1000.0 / np.maximum(np.diff(starts) - 2, 1), np.diff(starts))
-                side = np.repeat(y, np.diff(starts)).astype(bool)
-                for buckets, whole in gram_buckets(code, starts):
-                    for c in (0, 1):
-                        use = whole & (side == bool(c))
-                        sums[c] += np.bincount(buckets[use], weights=weight[use], minlength=1 << BUCKET_BITS)
+                sizes = doc_sums((data & 0xC0) != 0x80, offsets)
+                y = np.asarray(part.column(1)).astype(bool)
+                long = part.num_rows == 1 and len(data) > 2 * SLICE_BYTES
+                for some, inner, _ in blocks(data) if long else [(data, (0, 1 << 62), 0)]:
+                    code, starts = characters(some, np.array([0, len(some)]) if long else offsets)
+                    weight = np.repeat(1000.0 / np.maximum(sizes, 1), np.diff(starts))
+                    side = np.repeat(y, np.diff(starts))
+                    for buckets, whole in gram_buckets(code, starts):
+                        whole[: inner[0]] = whole[inner[1] :] = False
+                        for c in (0, 1):
+                            use = whole & (side == bool(c))
+                            sums[c] += np.bincount(buckets[use], weights=weight[use], minlength=1 << BUCKET_BITS)
         used = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[1][used]), pa.array(sums[0][used])], names=["bucket", "toxic", "other"])
 
@@ -129,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn_from: in
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in slices(batch):
+            for part, data, offsets in slices(batch, rows=ROWS):
                 x = np.log1p(densities(data, offsets, place, len(scale))) * scale
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(1), flat], names=["y", "x"])
@@ -141,18 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn_from: in
 
 def score(docs: DataFrame, model: Model, carry: list[str], name: str = "score") -> DataFrame:
     """The columns ``carry`` of ``docs`` and the score of the whole text; null text counts as empty."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(name, T.DoubleType())])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in slices(batch, "__text"):
-                kept = [part.column(i).cast(arrow.field(i).type) for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.scores(data, offsets))], schema=arrow)
-
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return appended(docs, carry, [T.StructField(name, T.DoubleType())], lambda data, offsets: [model.scores(data, offsets)], ROWS)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
@@ -167,6 +193,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all columns (text included)."""
-    name = "__kl_toxic"
+    """The rows of ``docs`` that are not predicted toxic, with all columns as they are, whatever their names.
+
+    Null and empty texts get the score of a text without n-grams; very long ones are scored whole,
+    a block at a time.  Repeated rows are judged alike, and a score of just THRESHOLD goes.  A null
+    doc_id is scored like any other.  An empty table gives an empty result.
+    """
+    (name,) = unused_names(docs, "toxic_score")
     return score(docs, fit(docs, labels, **fitting), docs.columns, name).where(F.col(name) < THRESHOLD).drop(name)
