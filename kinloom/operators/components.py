@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, functions as F
 
-#: A node holding this share of all edges is joined by broadcast; there are at most so many.
-HUB_SHARE = 1024
-HUB_LEAST = 200
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the session names; a temporary one only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kinloom-checkpoint-"))
-    return df.checkpoint()
+from kinloom.operators.skew import cut_lineage, lookup
 
 
 def _with_minimum(rows: DataFrame) -> DataFrame:
     """Add m, the smallest of u and its v's, to rows (u, v), without one hub's rows meeting in one task."""
     least = cut_lineage(rows.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
-    total, most = least.agg(F.sum("n"), F.max("n")).first()
-    limit = max(HUB_LEAST, -(-(total or 0) // HUB_SHARE))
-    if (most or 0) < limit:
-        return rows.join(least.select("u", "m"), "u")
-    hubs = least.where(F.col("n") >= limit).select("u", "m")
-    rest = least.where(F.col("n") < limit).select("u", "m")
-    hot = rows.join(F.broadcast(hubs), "u")
-    return hot.unionByName(rows.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(rest, "u"))
+    return lookup(rows, least, ["u"], "n", "inner").select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinloom.operators.components import connected_components, cut_lineage
+from kinloom.operators.components import connected_components
+from kinloom.operators.skew import cut_lineage
 
 FORMS = {"prospect": ("p", "prospect"), "organization": ("o", "org", "organisation", "organization"), "client": ("c", "client")}
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinloom.operators.components import cut_lineage
+from kinloom.operators.skew import cut_lineage
 
 #: Vectors of one side of a tile; two sides and their products bound a task's memory.
 TILE = 4096

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinloom.operators import multihop, paths, prep
-from kinloom.operators.components import cut_lineage
+from kinloom.operators.skew import cut_lineage
 from kinloom.plans import graph_view as view
 from kinloom.plans.registry import query
 

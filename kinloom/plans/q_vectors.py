@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinloom.operators import gin, similarity, walks
-from kinloom.operators.components import cut_lineage
+from kinloom.operators.skew import cut_lineage
 from kinloom.plans import graph_view as view
 from kinloom.plans.q_paths import PAYLOAD_SQL, bfs_sql
 from kinloom.plans.registry import query
