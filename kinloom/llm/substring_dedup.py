@@ -1,7 +1,8 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
-A text's bytes are cut where the gear hash of the last 16 bytes has its top bits zero, so cuts
-depend on content alone and an insertion moves only the cuts near it.  Chunks are deduplicated by
+A text's bytes are cut where the gear hash of the last 16 bytes is the least within some bytes
+around, so cuts depend on content alone, an insertion moves only the cuts near it, and gaps vary
+less than with a fixed threshold: a passage of 200 bytes seldom holds no whole chunk.  Chunks are deduplicated by
 digest across documents, and runs of neighbouring chunks that other documents have too are joined
 to spans.  A passage seldom begins and ends at a cut: where the words of the chunks next to a run
 could make it long enough, they are compared too, word by word, with those next to the same chunk
@@ -15,16 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from kinloom.llm._spark import checkpointed, lookup, quoted, unused_names
 from kinloom.llm._text import slices, span_names, words
 
-#: A cut needs so many zero bits, so there is one in 2^CUT_BITS bytes on average.
-CUT_BITS = 4
 REACH = 16
-#: A cut with another so near before it is passed over, so that chance repeats of tiny chunks are rare.
-NEAREST = 8
+#: A cut's hash is the least of so many places before and after it: there is one in 2 * AROUND + 1 bytes on average.
+AROUND = 20
 #: A longer stretch without a cut is cut where its hash is least, at every PERIOD bytes if that repeats.
 LONGEST = 256
 PERIOD = 64
@@ -36,21 +35,31 @@ DIGEST = 16
 FILTER_BITS = 27
 
 
-def cut_places(data: np.ndarray, offsets: np.ndarray, cut_bits: int = CUT_BITS, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
+def cut_places(data: np.ndarray, offsets: np.ndarray, around: int = AROUND, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the chunks of all texts.
 
     The hash h = 2h + gear[byte] of REACH bytes is added up for all places at once by doubling
-    steps.  A text's first places never cut (their window would reach out of it).
+    steps, and so is the least hash around each place.  A text's first and last places never cut
+    (what is compared would reach out of it).
     """
     h = GEAR[data]
     for k in (1, 2, 4, 8):
         h[k:] += h[:-k] << np.uint32(k)
-    cut = (h >> np.uint32(32 - cut_bits)) == 0
-    early = (offsets[:-1, None] + np.arange(REACH - 1)).ravel()
-    cut[early[early < np.repeat(offsets[1:], REACH - 1)]] = False
-    at = np.flatnonzero(cut) + 1
-    # a rule of the neighbourhood alone, unlike a least size counted from the last cut kept
-    at = at[np.diff(at, prepend=-NEAREST) >= NEAREST]
+    width = 2 * around + 1
+    if len(h) < width:
+        return _edges(h, np.zeros(0, np.int64), offsets, longest)
+    least, k = h, 1
+    while 2 * k <= width:
+        least, k = np.minimum(least[:-k], least[k:]), 2 * k
+    least = np.minimum(least[: len(h) - width + 1], least[width - k :])
+    at = np.flatnonzero(h[around : len(h) - around] == least) + around
+    text = np.searchsorted(offsets, at, "right") - 1
+    at = at[(at >= offsets[text] + REACH - 1 + around) & (at < offsets[text + 1] - around)] + 1
+    # of equal hashes in reach of each other, as in repeated words, the first one cuts
+    return _edges(h, at[np.diff(at, prepend=-width) > around], offsets, longest)
+
+
+def _edges(h: np.ndarray, at: np.ndarray, offsets: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     edges = np.unique(np.concatenate([at, offsets]))
     while len(long := np.flatnonzero(np.diff(edges) > longest)):
         edges = np.unique(np.concatenate([edges, *(_least_places(h, edges[i], edges[i + 1]) for i in long)]))
@@ -59,7 +68,7 @@ def cut_places(data: np.ndarray, offsets: np.ndarray, cut_bits: int = CUT_BITS,
 
 def _least_places(h: np.ndarray, start: int, end: int) -> np.ndarray:
     """Cuts within a long stretch: where the hash is least.  In a stretch that repeats itself that is once a period."""
-    part = h[start + REACH : end - NEAREST]
+    part = h[start + REACH : end - 1]
     at = np.flatnonzero(part == part.min()) + start + REACH + 1
     gaps = np.diff(at, prepend=at[0] - PERIOD)
     # of places nearer than PERIOD every so manyth is taken, counted from the first of them
@@ -93,18 +102,18 @@ def _binary(rows: np.ndarray) -> pa.Array:
 class Chunks:
     """The chunks of a slice of texts: doc, place, starts, ends, n_words (of the words that begin there), digest, spots."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, cut_bits: int):
-        self.starts, self.ends = cut_places(data, offsets, cut_bits)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, around: int):
+        self.starts, self.ends = cut_places(data, offsets, around)
         self.doc = np.searchsorted(offsets, self.starts, "right") - 1
         self.place = np.arange(len(self.starts)) - np.searchsorted(self.starts, offsets[:-1])[self.doc]
         self.word_starts, self.word_ends, _ = words(data, offsets)
         # how far a passage that holds a chunk, but not its neighbour as it is, can go on: to the end
-        # of the next chunk, and beyond the begin of the one before, since the first cuts within a
-        # passage depend on REACH + NEAREST bytes that may lie before it
+        # of the next chunk and beyond, and beyond the begin of the one before, since the first and
+        # last cuts within a passage depend on bytes outside of it
         self.left, self.right = self.starts.copy(), self.ends.copy()
         same = self.doc[1:] == self.doc[:-1]
-        self.left[1:][same] = np.maximum(self.starts[:-1] - REACH - NEAREST, offsets[self.doc[1:]])[same]
-        self.right[:-1][same] = self.ends[1:][same]
+        self.left[1:][same] = np.maximum(self.starts[:-1] - REACH - around, offsets[self.doc[1:]])[same]
+        self.right[:-1][same] = np.minimum(self.ends[1:] + around, offsets[self.doc[1:] + 1])[same]
         begun = lambda a, b: np.searchsorted(self.word_starts, b) - np.searchsorted(self.word_starts, a)
         self.n_words, self.before, self.after = begun(self.starts, self.ends), begun(self.left, self.starts), begun(self.ends, self.right)
         self.digest = digests(data, self.starts, self.ends)
@@ -119,14 +128,14 @@ def _keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(text[a:b], 42) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64).view(np.int64)
 
 
-def _scan(docs: DataFrame, schema: T.StructType, made, cut_bits: int) -> DataFrame:
+def _scan(docs: DataFrame, schema: T.StructType, made, around: int) -> DataFrame:
     """Rows from each slice's chunks; ``made(data, offsets, chunks)`` gives (chunk numbers, columns behind doc_id and key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, most=1 << 20):
                 if len(data):
-                    cut = Chunks(data, offsets, cut_bits)
+                    cut = Chunks(data, offsets, around)
                     rows, columns = made(data, offsets, cut)
                     doc = cut.doc[rows]
                     yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(doc)), pa.array(_keys(data, offsets)[doc]), *columns], names=schema.names)
@@ -138,11 +147,16 @@ def _schema(docs: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([docs.schema["doc_id"], T.StructField("key", T.LongType()), *(T.StructField(n, t) for n, t in fields)])
 
 
-def _filter(digest_rows: DataFrame) -> np.ndarray:
-    """Which places of the filter the digests take: 2^FILTER_BITS bits, whatever the number of digests."""
-    spot = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32 - FILTER_BITS) + 1
+def _spot(digest: str) -> Column:
+    """As ``_spots``."""
+    return F.shiftright(F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("long"), 32 - FILTER_BITS).cast("int")
+
+
+def _filter(spots: DataFrame) -> np.ndarray:
+    """Which places of the filter the rows' ``spot`` takes: 2^FILTER_BITS bits, whatever the number of rows."""
+    spot = F.col("spot").cast("long") + 1
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    made = digest_rows.select(spot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
+    made = spots.select(spot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
     for row in made.collect():  # 4,096 rows of 4 KB at most
         size = len(row["m"])
         bits[(row["b"] - 1) * size : row["b"] * size] = np.frombuffer(bytes(row["m"]), np.uint8)
@@ -153,17 +167,17 @@ def _passed(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
     return np.flatnonzero(bits[spots >> 3] >> (spots & 7).astype(np.uint8) & 1)
 
 
-def _shared_chunks(docs: DataFrame, cut_bits: int) -> DataFrame:
+def _shared_chunks(docs: DataFrame, around: int) -> DataFrame:
     """The chunks that other documents have too, with the smallest doc_id (first_doc_id) and the rows (n) that have them.
 
-    Columns: doc_id, key, digest, place, start, size (bytes of UTF-8), n_words, before and after
+    Columns: doc_id, key, spot (of the digest), place, start, size (bytes of UTF-8), n_words, before and after
     (words around that a passage with this chunk may hold too), first_doc_id, n.
     """
     i32 = lambda x: pa.array(x.astype(np.int32))
-    names = _scan(docs, _schema(docs, ("digest", T.BinaryType())), lambda data, offsets, c: (np.arange(len(c.starts)), [_binary(c.digest)]), cut_bits)
+    names = _scan(docs, _schema(docs, ("digest", T.BinaryType())), lambda data, offsets, c: (np.arange(len(c.starts)), [_binary(c.digest)]), around)
     counts = names.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     shared = checkpointed(counts.where("low < high").select("digest", F.col("low").alias("first_doc_id"), "n"))
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(shared))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(shared.select(_spot("digest").alias("spot"))))
 
     def kept(data: np.ndarray, offsets: np.ndarray, c: Chunks) -> tuple[np.ndarray, list[pa.Array]]:
         rows = _passed(bits.value, c.spots)
@@ -171,8 +185,10 @@ def _shared_chunks(docs: DataFrame, cut_bits: int) -> DataFrame:
         return rows, [_binary(c.digest[rows]), i32(c.place[rows]), i32(at), *(i32(x[rows]) for x in (c.ends - c.starts, c.n_words, c.before, c.after))]
 
     fields = [("digest", T.BinaryType()), *((n, T.IntegerType()) for n in ("place", "start", "size", "n_words", "before", "after"))]
-    pieces = checkpointed(_scan(docs, _schema(docs, *fields), kept, cut_bits))
-    return lookup(pieces, shared, ["digest"], "n", "inner").dropDuplicates(["doc_id", "key", "place"])
+    pieces = checkpointed(_scan(docs, _schema(docs, *fields), kept, around))
+    found = lookup(pieces, shared, ["digest"], "n", "inner").withColumn("digest", _spot("digest")).withColumnRenamed("digest", "spot")
+    # one shuffle by text serves what follows too
+    return found.repartition("doc_id", "key").dropDuplicates(["doc_id", "key", "place"])
 
 
 def _with_runs(rows: DataFrame) -> DataFrame:
@@ -181,13 +197,13 @@ def _with_runs(rows: DataFrame) -> DataFrame:
     return rows.withColumn("run", F.col("place") - F.row_number().over(order))
 
 
-def _extended(docs: DataFrame, spans: DataFrame, min_words: int, cut_bits: int) -> DataFrame:
+def _extended(docs: DataFrame, spans: DataFrame, min_words: int, around: int) -> DataFrame:
     """``spans`` (too short ones with enough words around) with the words that another document has beside the same chunk too."""
-    ends = [spans.select(F.col(f"{side}.digest").alias("digest")) for side in ("head", "tail")]
+    ends = [spans.select(f"{side}.spot") for side in ("head", "tail")]
     bits = docs.sparkSession.sparkContext.broadcast(_filter(ends[0].union(ends[1])))
     sha = hashlib.sha256
 
-    def around(data: np.ndarray, offsets: np.ndarray, c: Chunks) -> tuple[np.ndarray, list[pa.Array]]:
+    def neighbours(data: np.ndarray, offsets: np.ndarray, c: Chunks) -> tuple[np.ndarray, list[pa.Array]]:
         """Per chunk and side: the bytes from the chunk back to each word's begin, or on to each word's end."""
         text, out = data.tobytes(), []
         for i in _passed(bits.value, c.spots).tolist():
@@ -202,7 +218,7 @@ def _extended(docs: DataFrame, spans: DataFrame, min_words: int, cut_bits: int)
         return rows, [_binary(c.digest[rows]), pa.array(c.place[rows].astype(np.int32)), *columns]
 
     fields = [("digest", T.BinaryType()), *((n, T.IntegerType()) for n in ("place", "side", "words", "bytes")), ("around", T.BinaryType())]
-    beside = checkpointed(_scan(docs, _schema(docs, *fields), around, cut_bits))
+    beside = checkpointed(_scan(docs, _schema(docs, *fields), neighbours, around))
     keys = ["digest", "side", "around"]
     alike = checkpointed(beside.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select(*keys, "n"))
     most = lookup(beside, alike, keys, "n", "inner").groupBy("doc_id", "key", "place", "side").agg(F.max(F.struct("words", "bytes")).alias("more"))
@@ -218,7 +234,7 @@ def _extended(docs: DataFrame, spans: DataFrame, min_words: int, cut_bits: int)
     return wider.select(*spans.columns).where(F.col("n_words") >= min_words)
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int = CUT_BITS) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, around: int = AROUND) -> DataFrame:
     """Spans of at least ``min_words`` words that occur in other documents too.
 
     Returns doc_id, start, size (bytes of the text's UTF-8), n_words (words that begin there),
@@ -232,9 +248,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int =
     result.  Other columns are not read.
     """
     # a chunk may be in some other document by chance, so the first document is the one that has most of the span
-    by_first = _with_runs(_shared_chunks(docs, cut_bits)).groupBy("doc_id", "key", "run", "first_doc_id").agg(
+    by_first = _with_runs(_shared_chunks(docs, around)).groupBy("doc_id", "key", "run", "first_doc_id").agg(
         F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_chunks"), F.max("n").alias("most_docs"),
-        F.min(F.struct("place", "digest", "before")).alias("head"), F.max(F.struct("place", "digest", "after")).alias("tail"),
+        F.min(F.struct("place", "spot", "before")).alias("head"), F.max(F.struct("place", "spot", "after")).alias("tail"),
     )
     spans = by_first.groupBy("doc_id", "key", "run").agg(
         F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("n_words").alias("n_words"), F.sum("n_chunks").alias("n_chunks"),
@@ -245,17 +261,17 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int =
     spans = checkpointed(spans.where(F.col("n_words") + F.col("head.before") + F.col("tail.after") >= min_words))
     done, open_ = spans.where(F.col("n_words") >= min_words), spans.where(F.col("n_words") < min_words)
     if not open_.isEmpty():
-        done = done.unionByName(_extended(docs, open_, min_words, cut_bits))
+        done = done.unionByName(_extended(docs, open_, min_words, around))
     return done.drop("head", "tail")
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, cut_bits: int = CUT_BITS) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, around: int = AROUND) -> DataFrame:
     """``docs`` without the runs of chunks, of at least ``min_words`` words, that smaller doc_ids have; all columns stay, whatever their names.
 
     Runs are cut out at chunk borders, so some words of a passage may stay at either end.  Rows
     without a doc_id or text stay as they are.
     """
-    again = _with_runs(_shared_chunks(docs, cut_bits).where(F.col("first_doc_id") < F.col("doc_id")))
+    again = _with_runs(_shared_chunks(docs, around).where(F.col("first_doc_id") < F.col("doc_id")))
     again = again.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "key", "run"))).where(F.col("run_words") >= min_words)
     id_, key, cuts, kept = unused_names(docs, "cut_id_", "cut_key_", "cuts_", "kept_")
     found = again.groupBy(F.col("doc_id").alias(id_), F.col("key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias(cuts))
