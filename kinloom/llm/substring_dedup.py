@@ -33,6 +33,8 @@ GEAR = np.random.RandomState(11).randint(0, 1 << 32, 256, dtype=np.uint64).astyp
 DIGEST = 16
 #: Bits of the fixed-size filter (16 MB) by which chunks that no other document has are passed over.
 FILTER_BITS = 27
+#: Told apart in the filter: a chunk as a span's first (its place) and as its last (the place with these bits turned).
+OTHER_SIDE = 0x2AAAAAA
 
 
 def cut_places(data: np.ndarray, offsets: np.ndarray, around: int = AROUND, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
@@ -198,38 +200,56 @@ def _with_runs(rows: DataFrame) -> DataFrame:
 
 
 def _extended(docs: DataFrame, spans: DataFrame, min_words: int, around: int) -> DataFrame:
-    """``spans`` (too short ones with enough words around) with the words that another document has beside the same chunk too."""
-    ends = [spans.select(f"{side}.spot") for side in ("head", "tail")]
+    """``spans`` (too short ones with enough words around) with the words that another document has beside the same chunk too.
+
+    Every occurrence of a chunk that ends such a span gives one row: a digest of the chunk and the
+    bytes from it to each word's end (or back to its begin).  Digests that two documents have are
+    common words.
+    """
+    side_of = {"head": 0, "tail": 1}
+    ends = [spans.select(F.col(f"{name}.spot").bitwiseXOR(F.lit(side * OTHER_SIDE)).alias("spot")) for name, side in side_of.items()]
     bits = docs.sparkSession.sparkContext.broadcast(_filter(ends[0].union(ends[1])))
     sha = hashlib.sha256
 
     def neighbours(data: np.ndarray, offsets: np.ndarray, c: Chunks) -> tuple[np.ndarray, list[pa.Array]]:
-        """Per chunk and side: the bytes from the chunk back to each word's begin, or on to each word's end."""
-        text, out = data.tobytes(), []
-        for i in _passed(bits.value, c.spots).tolist():
-            begins = c.word_starts[np.searchsorted(c.word_starts, c.left[i]) : np.searchsorted(c.word_starts, c.starts[i])]
-            stops = c.word_ends[np.searchsorted(c.word_ends, c.ends[i], "right") : np.searchsorted(c.word_ends, c.right[i], "right")]
-            for side, spans_ in ((0, [(s, int(c.starts[i])) for s in begins.tolist()]), (1, [(int(c.ends[i]), e) for e in stops.tolist()])):
-                begun = np.searchsorted(c.word_starts, spans_).reshape(-1, 2) if spans_ else ()
-                for (a, b), (x, y) in zip(spans_, begun, strict=True):
-                    out.append((i, side, y - x, b - a, sha(text[a:b]).digest()[:DIGEST]))
-        rows = np.array([o[0] for o in out], np.int64)
-        columns = [pa.array([o[k] for o in out], t) for k, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.binary()))]
-        return rows, [_binary(c.digest[rows]), pa.array(c.place[rows].astype(np.int32)), *columns]
-
-    fields = [("digest", T.BinaryType()), *((n, T.IntegerType()) for n in ("place", "side", "words", "bytes")), ("around", T.BinaryType())]
+        text, rows, out = data.tobytes(), [], []
+        for side in (0, 1):
+            for i in _passed(bits.value, c.spots ^ (side * OTHER_SIDE)).tolist():
+                if side:
+                    stops = c.word_ends[np.searchsorted(c.word_ends, c.ends[i], "right") : np.searchsorted(c.word_ends, c.right[i], "right")]
+                    found = np.column_stack([np.full(len(stops), c.ends[i]), stops])
+                else:
+                    begins = c.word_starts[np.searchsorted(c.word_starts, c.left[i]) : np.searchsorted(c.word_starts, c.starts[i])]
+                    found = np.column_stack([begins, np.full(len(begins), c.starts[i])])
+                if len(found):
+                    before = sha(c.digest[i].tobytes() + bytes([side]))
+                    made = []
+                    for a, b in found.tolist():
+                        one = before.copy()
+                        one.update(text[a:b])
+                        made.append(one.digest()[:DIGEST])
+                    rows.append(i)
+                    out.append((side, np.diff(np.searchsorted(c.word_starts, found), axis=1).ravel(), np.diff(found, axis=1).ravel(), b"".join(made)))
+        rows = np.array(rows, np.int64)
+        kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
+        return rows, [pa.array(c.place[rows].astype(np.int32)), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))]
+
+    fields = [("place", T.IntegerType()), ("side", T.IntegerType()), ("words", T.ArrayType(T.IntegerType())), ("bytes", T.ArrayType(T.IntegerType())), ("digests", T.BinaryType())]
     beside = checkpointed(_scan(docs, _schema(docs, *fields), neighbours, around))
-    keys = ["digest", "side", "around"]
-    alike = checkpointed(beside.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select(*keys, "n"))
-    most = lookup(beside, alike, keys, "n", "inner").groupBy("doc_id", "key", "place", "side").agg(F.max(F.struct("words", "bytes")).alias("more"))
-    most = checkpointed(most)
-    gain = lambda side, name: most.where(F.col("side") == side).select("doc_id", "key", F.col("place").alias(f"{name}_place"), F.col("more").alias(f"{name}_more"))
+    each = F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.substring("digests", i * DIGEST + 1, F.lit(DIGEST)))).alias("j", "common")
+    alike = beside.select("doc_id", each).groupBy("common").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("common")
+    ours = spans.select("doc_id", "key", F.explode(F.array(*[F.struct(F.col(f"{name}.place").alias("place"), F.lit(side).alias("side")) for name, side in side_of.items()])).alias("e")).select("doc_id", "key", "e.*")
+    mine = checkpointed(ours.join(beside, ["doc_id", "key", "place", "side"]).select("doc_id", "key", "place", "side", "words", "bytes", each).dropDuplicates(["doc_id", "key", "place", "side", "j"]))
+    weighed = checkpointed(mine.groupBy("common").agg(F.count("*").alias("n")).join(alike, "common"))
+    more = F.max(F.struct("j", F.element_at("words", F.col("j") + 1).alias("words"), F.element_at("bytes", F.col("j") + 1).alias("bytes"))).alias("more")
+    most = checkpointed(lookup(mine, weighed, ["common"], "n", "inner").groupBy("doc_id", "key", "place", "side").agg(more))
+    gain = lambda name: most.where(F.col("side") == side_of[name]).select("doc_id", "key", F.col("place").alias(f"{name}_place"), F.col("more").alias(f"{name}_more"))
     placed = spans.withColumns({"head_place": F.col("head.place"), "tail_place": F.col("tail.place")})
-    joined = placed.join(gain(0, "head"), ["doc_id", "key", "head_place"], "left").join(gain(1, "tail"), ["doc_id", "key", "tail_place"], "left")
-    more = lambda name, c: F.coalesce(F.col(f"{name}_more.{c}"), F.lit(0))
+    joined = placed.join(gain("head"), ["doc_id", "key", "head_place"], "left").join(gain("tail"), ["doc_id", "key", "tail_place"], "left")
+    gained = lambda name, c: F.coalesce(F.col(f"{name}_more.{c}"), F.lit(0))
     wider = joined.withColumns({
-        "n_words": F.col("n_words") + more("head", "words") + more("tail", "words"),
-        "start": F.col("start") - more("head", "bytes"), "size": F.col("size") + more("head", "bytes") + more("tail", "bytes"),
+        "n_words": F.col("n_words") + gained("head", "words") + gained("tail", "words"),
+        "start": F.col("start") - gained("head", "bytes"), "size": F.col("size") + gained("head", "bytes") + gained("tail", "bytes"),
     })
     return wider.select(*spans.columns).where(F.col("n_words") >= min_words)
 
