@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinloom.operators.skew import cut_lineage as checkpointed, lookup, quoted, unused_names
+from kinloom.sources.tables import scratch_path
 
-__all__ = ["checkpointed", "held_out", "learning_rows", "lookup", "quoted", "table", "unused_names"]
+__all__ = ["checkpointed", "held_out", "learning_rows", "lookup", "quoted", "table", "unused_names", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: a checkpoint for large tables, column by column and compressed."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def held_out(doc_id) -> F.Column:
     """True for the rows that no model learns from: crc32 of the id's text is divisible by 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from kinloom.llm._spark import checkpointed, lookup, quoted, unused_names
+from kinloom.llm._spark import checkpointed, lookup, quoted, unused_names, written
 from kinloom.llm._text import slices, span_names, words
 
 REACH = 16
@@ -187,7 +187,7 @@ def _shared_chunks(docs: DataFrame, around: int) -> DataFrame:
         return rows, [_binary(c.digest[rows]), i32(c.place[rows]), i32(at), *(i32(x[rows]) for x in (c.ends - c.starts, c.n_words, c.before, c.after))]
 
     fields = [("digest", T.BinaryType()), *((n, T.IntegerType()) for n in ("place", "start", "size", "n_words", "before", "after"))]
-    pieces = checkpointed(_scan(docs, _schema(docs, *fields), kept, around))
+    pieces = written(_scan(docs, _schema(docs, *fields), kept, around), "chunks")
     found = lookup(pieces, shared, ["digest"], "n", "inner").withColumn("digest", _spot("digest")).withColumnRenamed("digest", "spot")
     # one shuffle by text serves what follows too
     return found.repartition("doc_id", "key").dropDuplicates(["doc_id", "key", "place"])
@@ -219,7 +219,7 @@ def _extended(docs: DataFrame, spans: DataFrame, min_words: int, around: int) ->
                     stops = c.word_ends[np.searchsorted(c.word_ends, c.ends[i], "right") : np.searchsorted(c.word_ends, c.right[i], "right")]
                     found = np.column_stack([np.full(len(stops), c.ends[i]), stops])
                 else:
-                    begins = c.word_starts[np.searchsorted(c.word_starts, c.left[i]) : np.searchsorted(c.word_starts, c.starts[i])]
+                    begins = c.word_starts[np.searchsorted(c.word_starts, c.left[i]) : np.searchsorted(c.word_starts, c.starts[i])][::-1]
                     found = np.column_stack([begins, np.full(len(begins), c.starts[i])])
                 if len(found):
                     before = sha(c.digest[i].tobytes() + bytes([side]))
@@ -235,11 +235,11 @@ def _extended(docs: DataFrame, spans: DataFrame, min_words: int, around: int) ->
         return rows, [pa.array(c.place[rows].astype(np.int32)), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))]
 
     fields = [("place", T.IntegerType()), ("side", T.IntegerType()), ("words", T.ArrayType(T.IntegerType())), ("bytes", T.ArrayType(T.IntegerType())), ("digests", T.BinaryType())]
-    beside = checkpointed(_scan(docs, _schema(docs, *fields), neighbours, around))
+    beside = written(_scan(docs, _schema(docs, *fields), neighbours, around), "neighbours")
     each = F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.substring("digests", i * DIGEST + 1, F.lit(DIGEST)))).alias("j", "common")
     alike = beside.select("doc_id", each).groupBy("common").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("common")
     ours = spans.select("doc_id", "key", F.explode(F.array(*[F.struct(F.col(f"{name}.place").alias("place"), F.lit(side).alias("side")) for name, side in side_of.items()])).alias("e")).select("doc_id", "key", "e.*")
-    mine = checkpointed(ours.join(beside, ["doc_id", "key", "place", "side"]).select("doc_id", "key", "place", "side", "words", "bytes", each).dropDuplicates(["doc_id", "key", "place", "side", "j"]))
+    mine = written(ours.join(beside, ["doc_id", "key", "place", "side"]).select("doc_id", "key", "place", "side", "words", "bytes", each).dropDuplicates(["doc_id", "key", "place", "side", "j"]), "spans")
     weighed = checkpointed(mine.groupBy("common").agg(F.count("*").alias("n")).join(alike, "common"))
     more = F.max(F.struct("j", F.element_at("words", F.col("j") + 1).alias("words"), F.element_at("bytes", F.col("j") + 1).alias("bytes"))).alias("more")
     most = checkpointed(lookup(mine, weighed, ["common"], "n", "inner").groupBy("doc_id", "key", "place", "side").agg(more))
