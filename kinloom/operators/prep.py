@@ -155,13 +155,14 @@ def isolated_prospects(nodes: DataFrame, index: dict[str, DataFrame]) -> DataFra
     return prospects.join(index["po"].join(index["oc"], "o", "left_semi"), "p", "left_anti")
 
 
-def node_index(edges: DataFrame, ranges: int = 64) -> tuple[DataFrame, DataFrame]:
+def node_index(edges: DataFrame, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, index) with 0..n-1 in string order, and the edges in both directions between indexes.
 
-    Places are counted within hash-free ranges of the id's order and added up over ranges, so no
+    Places are counted within ranges of the id's order (as many as the session's shuffles have) and added up over ranges, so no
     task sees all ids.
     """
     ids = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    ranges = ranges or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = cut_lineage(ids.repartitionByRange(ranges, "id").withColumn("part", F.spark_partition_id()))
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))  # one row per range
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinloom.operators import components, prep, profile
 from kinloom.plans import graph_view as view
-from kinloom.plans.graph_view import PURCHASES_SQL, SPARSE_SQL, read
+from kinloom.plans.graph_view import PURCHASES_SQL, SHARED_SQL, TERRITORY_SQL, read
 from kinloom.plans.registry import query
 
 DENSE = "WITH RECURSIVE " + view.view_sql("dense")
 BOUGHT = "WITH " + PURCHASES_SQL
-SPARSE = "WITH RECURSIVE " + SPARSE_SQL
+SHARED = "WITH RECURSIVE " + SHARED_SQL
 TYPED = f"""{DENSE},
 typed AS (SELECT CASE WHEN substr(source, 1, 1) = 'o' THEN target ELSE source END AS x, CASE WHEN substr(source, 1, 1) = 'o' THEN source ELSE target END AS o, weight, edge_detail, edge_seq
           FROM edges WHERE source[1] = 'o' OR target[1] = 'o'),
@@ -65,11 +65,11 @@ def b7_subset_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.subset_by_table(view.nodes(spark, sf_dir), view.edges(spark, sf_dir), table, "c_custkey", form="c%s", prefix="c1")[0].select("id", "label", "entity_type")
 
 
-@query(f"""{SPARSE}, kept AS (SELECT component FROM component GROUP BY 1 HAVING count(*) >= 4 AND count_if(node[1] = 'p') > 0)
+@query(f"""{SHARED}, kept AS (SELECT component FROM component GROUP BY 1 HAVING count(*) >= 4 AND count_if(node[1] = 'p') > 0)
 SELECT source, target FROM pairs JOIN component ON node = source WHERE component IN (SELECT component FROM kept)""")
 def b8_subset_by_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     prospects = view.nodes(spark, sf_dir).where("entity_type = 'Prospect'")
-    return prep.subset_by_component(view.sparse_edges(spark, sf_dir), prospects, min_size=4).select("source", "target")
+    return prep.subset_by_component(view.shared_edges(spark, sf_dir), prospects, min_size=4).select("source", "target")
 
 
 @query(f"""{DENSE}, h0 AS (SELECT id FROM nodes WHERE networth < -950), h1 AS (SELECT id FROM h0 UNION SELECT target FROM sym JOIN h0 ON source = id), h2 AS (SELECT id FROM h1 UNION SELECT target FROM sym JOIN h1 ON source = id)
@@ -131,10 +131,10 @@ def c2_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.value_counts(read(spark, sf_dir, "part"), "p_type")
 
 
-@query(f"""{SPARSE} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM pairs) AS n_edges, (SELECT count(*) FROM nodes WHERE entity_type = 'Prospect') AS n_prospects,
+@query(f"""{SHARED} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM pairs) AS n_edges, (SELECT count(*) FROM nodes WHERE entity_type = 'Prospect') AS n_prospects,
 (SELECT count(*) FROM nodes WHERE entity_type = 'Client') AS n_clients, (SELECT count(DISTINCT component) FROM component) + (SELECT count(*) FROM nodes) - (SELECT count(*) FROM component) AS n_components""")
 def c3_graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.graph_summary(view.nodes(spark, sf_dir), view.sparse_edges(spark, sf_dir))
+    return profile.graph_summary(view.nodes(spark, sf_dir), view.shared_edges(spark, sf_dir))
 
 
 @query(f"{DENSE}, d AS (SELECT source, count(*) AS degree FROM sym GROUP BY 1) SELECT count(*) AS n_nodes, quantile_cont(degree, 0.5) AS median_degree, min(degree) AS least, max(degree) AS most FROM d")
@@ -148,36 +148,30 @@ def c4_degree_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.degree_stats(view.edges(spark, sf_dir))[1]
 
 
-@query(f"{SPARSE} SELECT node, component FROM component")
+@query(f"{SHARED} SELECT node, component FROM component")
 def c5_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.connected_components(view.sparse_edges(spark, sf_dir))
+    return components.connected_components(view.shared_edges(spark, sf_dir))
 
 
-@query(f"{SPARSE} SELECT component, coalesce(string_agg(node, ',' ORDER BY node) FILTER (node[1] = 'c'), '') AS clients FROM component GROUP BY 1")
+@query(f"{SHARED} SELECT component, coalesce(string_agg(node, ',' ORDER BY node) FILTER (node[1] = 'c'), '') AS clients FROM component GROUP BY 1")
 def c6_component_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.component_clients(view.nodes(spark, sf_dir), view.sparse_edges(spark, sf_dir)).select("component", F.array_join("clients", ",").alias("clients"))
+    return profile.component_clients(view.nodes(spark, sf_dir), view.shared_edges(spark, sf_dir)).select("component", F.array_join("clients", ",").alias("clients"))
 
 
-@query(f"{SPARSE}, s AS (SELECT component, count(*) AS size FROM component GROUP BY 1) SELECT node, component, size, size >= 6 AS is_large FROM component JOIN s USING (component)")
+@query(f"{SHARED}, s AS (SELECT component, count(*) AS size FROM component GROUP BY 1) SELECT node, component, size, size >= 6 AS is_large FROM component JOIN s USING (component)")
 def c7_split_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.split_components(view.sparse_edges(spark, sf_dir), 6)
+    return profile.split_components(view.shared_edges(spark, sf_dir), 6)
 
 
-PATHS = SPARSE.replace(
-    "component AS (SELECT id AS node",
-    """hops(start, node, d) AS (SELECT DISTINCT source, source, 0 FROM links UNION SELECT start, target, d + 1 FROM hops JOIN links ON node = source WHERE d < 40),
-nearest AS (SELECT start, node, min(d) AS d FROM hops GROUP BY 1, 2),
-component AS (SELECT id AS node""",
-) + """, lengths AS (SELECT component, count(DISTINCT start) AS size, max(d) AS diameter, sum(d)::DOUBLE / (count(DISTINCT start) * (count(DISTINCT start) - 1)) AS avg_path
-FROM nearest JOIN component ON component.node = start GROUP BY 1)"""
+PATHS = "WITH RECURSIVE " + TERRITORY_SQL
 
 
 @query(f"{PATHS} SELECT component, size, diameter, round(avg_path, 6) AS avg_path FROM lengths")
 def c8_path_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.path_length_stats(view.sparse_edges(spark, sf_dir)).withColumn("avg_path", F.round("avg_path", 6))
+    return profile.path_length_stats(view.territory_edges(spark, sf_dir)).withColumn("avg_path", F.round("avg_path", 6))
 
 
 @query(f"""{PATHS}, l AS (SELECT least(floor(2 * quantile_cont(avg_path, 0.5)), 80)::BIGINT AS walk_length, sum(size)::BIGINT AS n FROM lengths WHERE size >= 6)
 SELECT walk_length::INT AS walk_length, greatest(10, 10000000 // (n * walk_length)) AS num_walks FROM l""")
 def c9_recommend_walk_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.recommend_walk_params(view.sparse_edges(spark, sf_dir), 6)
+    return profile.recommend_walk_params(view.territory_edges(spark, sf_dir), 6)

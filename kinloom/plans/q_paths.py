@@ -27,11 +27,11 @@ walk(start, last, path, score, details, hop, hit) AS (
   SELECT source, target, [source, target], weight, edge_detail, 0, false FROM sym JOIN nodes ON source = id WHERE entity_type = 'Prospect'
   UNION ALL
   SELECT start, s.target, list_append(path, s.target), score * s.weight, details || '|' || s.edge_detail, hop + 1, s.target[1] = 'c'
-  FROM walk JOIN sym s ON last = s.source WHERE hop < 3 AND NOT hit AND NOT list_contains(path, s.target))
+  FROM walk JOIN sym s ON last = s.source WHERE hop < 4 AND NOT hit AND NOT list_contains(path, s.target))
 SELECT start AS prospect_id, last AS client_id, round(sum(score), 6) AS total_score, count(*) AS n_paths,
        string_agg(array_to_string(path, '→') || '=' || details, ';' ORDER BY array_to_string(path, '→')) AS path_details FROM walk WHERE hit GROUP BY 1, 2""")
 def d1_simple_path_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = paths.simple_path_scores(*_graph(spark, sf_dir, "dense"), max_hops=3)
+    out = paths.simple_path_scores(*_graph(spark, sf_dir, "dense"))
     return out.select("prospect_id", "client_id", F.round("total_score", 6).alias("total_score"), F.size("path_details").cast("long").alias("n_paths"), map_text("path_details").alias("path_details"))
 
 
@@ -66,10 +66,10 @@ def d3_shortest_path_relationships(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("prospect_id", "client_id", F.size("paths").cast("long").alias("n_paths"), F.array_join(F.array_sort(text), "; ").alias("paths"))
 
 
-@query(f"""{LAYERED}, asked AS (SELECT 'p' || c_custkey AS id FROM customer UNION SELECT 'o' || p_partkey FROM part), there AS (SELECT DISTINCT source AS id FROM sym)
+@query(f"""{LAYERED}, asked AS (SELECT 'p' || c_custkey AS id FROM customer UNION SELECT org FROM lines UNION SELECT 'o' || p_partkey FROM part), there AS (SELECT DISTINCT source AS id FROM sym)
 SELECT a.id, CASE WHEN t.id IS NULL THEN 'unfound' WHEN n.entity_type = 'Prospect' THEN 'found' ELSE 'not a prospect' END AS status FROM asked a LEFT JOIN there t USING (id) LEFT JOIN nodes n USING (id)""")
 def d4_unfound_prospects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = view.read(spark, sf_dir, "customer").select(F.concat(F.lit("p"), "c_custkey").alias("id")).unionByName(view.read(spark, sf_dir, "part").select(F.concat(F.lit("o"), "p_partkey").alias("id")))
+    asked = view.read(spark, sf_dir, "customer").select(F.concat(F.lit("p"), "c_custkey").alias("id")).unionByName(view.read(spark, sf_dir, "part").select(F.concat(F.lit("o"), "p_partkey").alias("id"))).unionByName(view._lines(spark, sf_dir).select(F.col("org").alias("id")))
     return paths.unfound_prospects(asked, *_graph(spark, sf_dir, "layered"))
 
 
@@ -197,16 +197,25 @@ def d14_bfs_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.bfs_paths(_graph(spark, sf_dir, "dense")[1], pairs(spark, sf_dir)).select("src", "dst", F.array_join("path", ",").alias("path"))
 
 
-def cheapest_sql(rounds: int = 14) -> str:
-    out = ["r0 AS (SELECT DISTINCT src, src AS node, 0.0::DOUBLE AS cost FROM pairs)"]
-    for k in range(1, rounds + 1):
-        out.append(f"r{k} AS (SELECT src, node, min(cost) AS cost FROM (SELECT * FROM r{k - 1} UNION ALL SELECT a.src, e.target, a.cost + e.weight FROM r{k - 1} a JOIN sym e ON a.node = e.source) GROUP BY 1, 2)")
-    return ", ".join(out)
+#: Costs and numbers of edges until nothing changes, then the smallest of the best paths; a node with one link is on no path but at its ends.
+CHEAPEST_SQL = """ends AS (SELECT src AS id FROM pairs UNION SELECT dst FROM pairs), inner_ AS (SELECT source AS id FROM sym GROUP BY 1 HAVING count(DISTINCT target) > 1 UNION SELECT id FROM ends),
+core AS (SELECT source, target, min(weight) AS weight FROM sym WHERE source IN (SELECT id FROM inner_) AND target IN (SELECT id FROM inner_) GROUP BY 1, 2),
+best(src, node, cost, hops) USING KEY (src, node) AS (SELECT DISTINCT src, src, 0.0::DOUBLE, 0 FROM pairs
+  UNION SELECT src, node, n.cost, n.hops FROM (
+    SELECT a.src, e.target AS node, min(struct_pack(cost := a.cost + e.weight, hops := a.hops + 1)) AS n FROM best a JOIN core e ON a.node = e.source GROUP BY 1, 2) o
+  LEFT JOIN recurring.best b USING (src, node) WHERE b.cost IS NULL OR n.cost < b.cost OR (n.cost = b.cost AND n.hops < b.hops)),
+back(src, dst, node) AS (SELECT DISTINCT p.src, p.dst, p.dst FROM pairs p JOIN best b ON b.src = p.src AND b.node = p.dst
+  UNION SELECT k.src, k.dst, u.node FROM back k JOIN best v ON v.src = k.src AND v.node = k.node JOIN core e ON e.target = k.node JOIN best u ON u.src = k.src AND u.node = e.source AND u.cost + e.weight = v.cost AND u.hops + 1 = v.hops),
+ahead(src, dst, node, path) AS (SELECT DISTINCT src, dst, src, [src] FROM back
+  UNION ALL SELECT src, dst, node, list_append(path, node) FROM (
+    SELECT w.src, w.dst, w.path, min(k.node) AS node FROM ahead w JOIN best u ON u.src = w.src AND u.node = w.node JOIN core e ON e.source = w.node JOIN best v ON v.src = w.src AND v.node = e.target AND u.cost + e.weight = v.cost AND u.hops + 1 = v.hops
+    JOIN back k ON k.src = w.src AND k.dst = w.dst AND k.node = e.target WHERE w.node <> w.dst GROUP BY 1, 2, 3))"""
 
 
-@query(f"{DENSE}, {PAIRS_SQL}, {cheapest_sql()} SELECT p.src, p.dst, cost FROM pairs p LEFT JOIN r14 r ON r.src = p.src AND r.node = p.dst")
+@query(f"""{DENSE}, {PAIRS_SQL}, {CHEAPEST_SQL} SELECT p.src, p.dst, b.cost, coalesce(array_to_string(a.path, ','), '') AS path
+FROM pairs p LEFT JOIN best b ON b.src = p.src AND b.node = p.dst LEFT JOIN ahead a ON a.src = p.src AND a.dst = p.dst AND a.node = p.dst""")
 def d15_weighted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.weighted_paths(_graph(spark, sf_dir, "dense")[1], pairs(spark, sf_dir)).select("src", "dst", "cost")
+    return paths.weighted_paths(_graph(spark, sf_dir, "dense")[1], pairs(spark, sf_dir)).select("src", "dst", "cost", F.array_join("path", ",").alias("path"))
 
 
 @query(f"{DENSE}, {PAIRS_SQL}, {bfs_sql()}, {PAYLOAD_SQL} SELECT src, dst, payload FROM payloads")

@@ -24,23 +24,33 @@ v AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS e, sqrt(list_sum(list
 u AS (SELECT id, label, CASE WHEN size > 0 THEN list_transform(e, lambda x: x / size) ELSE e END AS e FROM v)"""
 
 
-def walks_sql(steps: int, num_walks: int, seed: int, weighted: bool = True, p: float = 1.0, q: float = 1.0) -> str:
-    """CTEs w0..w<steps>: the walks after each step, one CTE a step."""
-    weight = "sum(weight)" if weighted else "1.0"
+def walks_sql(steps: int, num_walks: int, seed: int, weighted: bool = True, p: float = 1.0, q: float = 1.0, tries: int = 64, people: bool = False) -> str:
+    """CTEs w0..w<steps>: the walks after each step, one CTE a step; a biased step takes the first accepted of ``tries`` proposals."""
+    weight, most = "sum(weight)" if weighted else "1.0::DOUBLE", max(1.0, 1 / p, 1 / q)
     out = [f"adj AS (SELECT source, target, {weight} AS weight FROM sym GROUP BY 1, 2)"]
-    out.append(f"w0 AS (SELECT id AS start, walk_no, [id] AS walk, id AS head, NULL AS prev FROM (SELECT DISTINCT source AS id FROM adj), range({num_walks}) r(walk_no))")
+    out.append("cum AS (SELECT source, target, sum(weight) OVER o AS high, sum(weight) OVER o - weight AS low, sum(weight) OVER (PARTITION BY source) AS total FROM adj WINDOW o AS (PARTITION BY source ORDER BY target))")
+    out.append(f"w0 AS (SELECT id AS start, walk_no, [id] AS walk, id AS head, NULL AS prev FROM (SELECT DISTINCT source AS id FROM adj{" WHERE source[1] <> 'o'" if people else ""}), range({num_walks}) r(walk_no))")
+    luck = lambda k, t, more="": f"((('0x' || substr(md5('{seed}|' || start || '|' || walk_no || '|{k}|' || {t}{more}), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296.0)"
     for k in range(1, steps + 1):
-        luck = f"-ln((('0x' || substr(md5('{seed}|' || start || '|' || walk_no || '|{k}|' || a.target), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296.0)"
-        bias = "a.weight" if p == q == 1.0 else f"a.weight * CASE WHEN prev IS NULL THEN 1.0 WHEN a.target = prev THEN {1 / p} WHEN near.target IS NOT NULL THEN 1.0 ELSE {1 / q} END"
-        near = "" if p == q == 1.0 else " LEFT JOIN adj near ON near.source = w.prev AND near.target = a.target"
-        out.append(f"o{k} AS (SELECT start, walk_no, walk, head, a.target AS next, {luck} / ({bias}) AS luck FROM w{k - 1} w JOIN adj a ON w.head = a.source{near})")
-        out.append(f"w{k} AS (SELECT start, walk_no, list_append(walk, next) AS walk, next AS head, head AS prev FROM o{k} QUALIFY row_number() OVER (PARTITION BY start, walk_no ORDER BY luck, next) = 1)")
+        biased = k > 1 and not p == q == 1.0
+        tried = f"(SELECT * FROM w{k - 1}, range(1, {tries + 1}) r(try))" if biased else f"(SELECT *, 1 AS try FROM w{k - 1})"
+        out.append(f"o{k} AS (SELECT start, walk_no, walk, head, prev, try, c.target AS next FROM (SELECT *, {luck(k, 'try')} AS u FROM {tried}) w JOIN cum c ON w.head = c.source AND u * total >= low AND u * total < high)")
+        if biased:
+            bias = f"CASE WHEN next = prev THEN {1 / p} WHEN near.target IS NOT NULL THEN 1.0 ELSE {1 / q} END"
+            accept = luck(k, "try", " || '|accept'")
+            out.append(f"a{k} AS (SELECT o.* FROM o{k} o LEFT JOIN adj near ON near.source = prev AND near.target = next WHERE {accept} * {most} < {bias} QUALIFY row_number() OVER (PARTITION BY start, walk_no ORDER BY try) = 1)")
+        out.append(f"w{k} AS (SELECT start, walk_no, list_append(walk, next) AS walk, next AS head, head AS prev FROM {'a' if biased else 'o'}{k})")
     return ", ".join(out)
 
 
-@query(f"{LAYERED}, {walks_sql(5, 2, 3)} SELECT start, walk_no, array_to_string(walk, ',') AS walk FROM w5")
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where walks start; they meet organisations on the way."""
+    return view.nodes(spark, sf_dir, "layered").where("entity_type <> 'Organization'")
+
+
+@query(f"{LAYERED}, {walks_sql(29, 10, 3, people=True)} SELECT start, walk_no, array_to_string(walk, ',') AS walk FROM w29")
 def e1_random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = walks.random_walks(view.edges(spark, sf_dir, "layered"), num_walks=2, walk_length=6, seed=3)
+    out = walks.random_walks(view.edges(spark, sf_dir, "layered"), starts=_people(spark, sf_dir), seed=3)
     return out.select("start", "walk_no", F.array_join("walk", ",").alias("walk"))
 
 
@@ -50,18 +60,29 @@ def e1_biased_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("start", "walk_no", F.array_join("walk", ",").alias("walk"))
 
 
-@query(f"""{LAYERED}, {walks_sql(4, 2, 5, weighted=False)}, visits AS (SELECT start, count(DISTINCT node) AS visited FROM (SELECT start, unnest(walk) AS node FROM w4) GROUP BY 1)
-SELECT start, visited, round(visited / (SELECT count(DISTINCT source) FROM sym), 9) AS coverage FROM visits""")
-def c10_walk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _coverage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     edges = cut_lineage(view.edges(spark, sf_dir, "layered"))
-    walked = walks.random_walks(edges, num_walks=2, walk_length=5, seed=5, weighted=False)
-    return walks.walk_coverage(walked, edges)[0].withColumn("coverage", F.round("coverage", 9))
+    walked = walks.random_walks(edges, starts=_people(spark, sf_dir), seed=5, weighted=False)
+    return walks.walk_coverage(walked, edges)
+
+
+COVERAGE = f"""{LAYERED}, {walks_sql(29, 10, 5, weighted=False, people=True)}, visits AS (SELECT start, count(DISTINCT node) AS visited FROM (SELECT start, unnest(walk) AS node FROM w29) GROUP BY 1)"""
+
+
+@query(f"{COVERAGE} SELECT start, visited, round(visited / (SELECT count(DISTINCT source) FROM sym), 9) AS coverage FROM visits")
+def c10_walk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coverage(spark, sf_dir)[0].withColumn("coverage", F.round("coverage", 9))
+
+
+@query(f"{COVERAGE} SELECT count(*) AS starts, round(avg(visited / (SELECT count(DISTINCT source) FROM sym)), 9) AS mean_coverage FROM visits")
+def c10_mean_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coverage(spark, sf_dir)[1].withColumn("mean_coverage", F.round("mean_coverage", 9))
 
 
 @query()
 def e2_train_node2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walked = walks.random_walks(view.edges(spark, sf_dir, "layered"), num_walks=2, walk_length=8, seed=1)
-    vectors = walks.train_node2vec(cut_lineage(walked), dimensions=16, epochs=1)
+    walked = walks.random_walks(view.edges(spark, sf_dir, "layered"), starts=_people(spark, sf_dir), seed=1)
+    vectors = walks.train_node2vec(cut_lineage(walked))
     return vectors.select("id", F.size("embedding").alias("dimensions"), F.round(similarity.norm("embedding"), 4).alias("size"))
 
 
