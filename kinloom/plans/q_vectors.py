@@ -203,7 +203,28 @@ def e13_train_gin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("id", F.round(similarity.norm("embedding"), 4).alias("size"), F.lit(round(float(np.min(losses)), 4)).alias("best_loss"))
 
 
-@query()
+def pca_sql(components: int = 2, squarings: int = 14) -> str:
+    """CTEs ending in p1, p2, .. (i, x): principal components of v by squaring the covariance until one direction is left.
+
+    A power of the matrix tends to the outer product of its first component with itself; the column of
+    the largest diagonal entry is that component with its largest loading positive.
+    """
+    out = ["long AS (SELECT id, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM v)", "centred AS MATERIALIZED (SELECT id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM long)"]
+    out.append("c1 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) AS m FROM centred a JOIN centred b USING (id) GROUP BY 1, 2)")
+    scaled = lambda source: f"(SELECT i, j, m / (SELECT sum(m) FROM {source} WHERE i = j) AS m FROM {source})"
+    for k in range(1, components + 1):
+        out.append(f"s{k}_0 AS MATERIALIZED {scaled(f'c{k}')}")
+        for n in range(1, squarings + 1):
+            out.append(f"q{k}_{n} AS MATERIALIZED (SELECT a.i, b.j, sum(a.m * b.m) AS m FROM s{k}_{n - 1} a JOIN s{k}_{n - 1} b ON a.j = b.i GROUP BY 1, 2)")
+            out.append(f"s{k}_{n} AS MATERIALIZED {scaled(f'q{k}_{n}')}")
+        last = f"s{k}_{squarings}"
+        out.append(f"p{k} AS MATERIALIZED (SELECT i, m / sqrt(sum(m * m) OVER ()) AS x FROM {last} WHERE j = (SELECT arg_max(i, m) FROM {last} WHERE i = j))")
+        out.append(f"l{k} AS (SELECT sum(a.x * m * b.x) AS size FROM c{k} JOIN p{k} a USING (i) JOIN p{k} b ON b.i = j)")
+        out.append(f"c{k + 1} AS MATERIALIZED (SELECT c{k}.i, j, m - size * a.x * b.x AS m FROM l{k}, c{k} JOIN p{k} a USING (i) JOIN p{k} b ON b.i = j)")
+    return ", ".join(out)
+
+
+@query(f"WITH {VECTORS}, {pca_sql()} SELECT id, round(sum(c.x * p1.x), 4) AS x, round(sum(c.x * p2.x), 4) AS y FROM centred c JOIN p1 USING (i) JOIN p2 USING (i) GROUP BY 1")
 def e14_pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = similarity.pca_2d(_vectors(spark, sf_dir))
     return out.select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
