@@ -161,7 +161,8 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority", "o_orderstatus"))).alias("items"))
     base = read(spark, sf_dir, "customer").join(items, c == F.col("o_custkey"), "left")
     listed = F.coalesce("items", F.array().cast("array<struct<o_orderkey:bigint,o_orderpriority:string,o_orderstatus:string>>"))
-    connection = F.transform(listed, lambda x: F.struct(F.concat(F.lit("n"), x["o_orderkey"]).alias("name"), x["o_orderpriority"].alias("group"), F.when(x["o_orderstatus"] == "P", "").otherwise(x["o_orderstatus"]).alias("relationship_type"), word.alias("source")))
+    status = lambda x: F.when(x["o_orderstatus"] == "P", "").otherwise(x["o_orderstatus"])
+    connection = F.transform(listed, lambda x: F.struct(F.concat(F.lit("n"), x["o_orderkey"]).alias("name"), x["o_orderpriority"].alias("group"), status(x).alias("relationship_type"), word.alias("source")))
     worth = F.create_map(F.lit("cash"), F.transform(listed, lambda x: vs(x["o_orderkey"], word)), F.lit("art"), F.array().cast("array<struct<value:string,source:string>>"))
     return base.select(
         c.alias("id"), (c * 7).alias("fa_id"), F.lit("2020-01-01").alias("added_on"), some(5, F.col("c_mktsegment")).alias("fa_name"), some(4, F.col("c_name")).alias("name"), some(3, word).alias("name_source"),
@@ -170,6 +171,13 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.transform(listed, lambda x: F.struct(x["o_orderpriority"].alias("type"), F.lit("f").alias("company"), word.alias("source"))).alias("career_history"), vs(F.col("c_mktsegment"), word).alias("career_highlights")).alias("career"),
         F.struct(F.create_map(F.lit("gives"), F.col("c_acctbal") > 0, F.lit("leads"), F.when(c % 3 > 0, False)).alias("charitable_giving_checklist"), vs(some(2, word), word).alias("philanthropy_profile")).alias("charitable_activity"),
         connection.alias("connections"), worth.alias("net_worth"),
+        F.transform(listed, lambda x: F.struct(x["o_orderpriority"].alias("institution"), status(x).alias("qualification"), F.lit("2001-09-01").alias("start_date"), word.alias("source"))).alias("education"),
+        F.struct(F.transform(listed, lambda x: F.struct(F.concat(F.lit("m"), x["o_orderkey"]).alias("name"), F.lit("44").alias("age"), status(x).alias("relationship"), word.alias("source"))).alias("members")).alias("family_details"),
+        F.struct(word.alias("source"), F.transform(listed, lambda x: F.struct(x["o_orderpriority"].alias("name"), F.lit("aunt").alias("relationship"), word.alias("source"))).alias("value")).alias("family_office"),
+        F.struct(word.alias("source"), F.transform(listed, lambda x: F.struct(F.lit("9").alias("total_assets"), status(x).alias("phone"), F.lit("1999").alias("year"))).alias("value")).alias("private_foundation"),
+        F.struct(F.transform(listed, lambda x: vs(x["o_orderpriority"], word)).alias("interests"), vs(some(4, F.col("c_name")), word).alias("interests_remarks")).alias("interests"),
+        F.struct(vs(F.lit("40"), word).alias("age"), vs(some(4, F.col("c_name")), word).alias("bio"), vs(F.lit("12 Road"), word).alias("location"), vs(some(6, word), word).alias("marital_status")).alias("personal_details"),
+        F.transform(listed, lambda x: F.struct(F.lit("3").alias("taxes"), status(x).alias("property_type"), x["o_orderpriority"].alias("mortgage_lender"), F.lit("8").alias("est_market_value"))).alias("real_estate"),
     )
 
 
@@ -189,6 +197,7 @@ def fake_sql(kind: str, key: str) -> str:
     span = number_sql(key, "n", *map(int, bounds)) if bounds else ""
     return {
         "name": lambda: f"{pick_sql(key, 'first', m.FIRST)} || ' ' || {pick_sql(key, 'last', m.LAST)}", "word": lambda: word, "company": lambda: f"{cap(word)} || ' ' || {pick_sql(key, 'firm', m.FIRMS)}",
+        "university": lambda: f"{cap(word)} || ' ' || {pick_sql(key, 'firm', m.FIRMS)} || ' University'",
         "city": lambda: pick_sql(key, "city", m.CITIES), "state": lambda: pick_sql(key, "state", m.STATES), "country": lambda: pick_sql(key, "country", m.COUNTRIES), "postcode": lambda: f"lpad({number_sql(key, 'zip', 0, 99999)}::VARCHAR, 5, '0')",
         "address": lambda: f"{number_sql(key, 'no', 1, 999)} || ' ' || {cap(word)} || ' Street, ' || {pick_sql(key, 'city', m.CITIES)}", "job": lambda: pick_sql(key, "job", m.JOBS),
         "date": lambda: f"strftime(DATE '1970-01-01' + {number_sql(key, 'day', 0, 19000)}::INT, '%Y-%m-%d')", "year": lambda: f"{number_sql(key, 'year', 1970, 2024)}::VARCHAR",
@@ -270,6 +279,40 @@ def h6_mask_array_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.posexplode(both).alias("pos", "x")).select("id", "pos", "x.connections.name", "x.connections.group", "x.connections.relationship_type", F.col("x.history.type").alias("job"), F.col("x.history.source").alias("career_source"))
 
 
+def _listed(out: DataFrame, *columns: F.Column) -> DataFrame:
+    """id, pos and x: one row per place of the lists, side by side as x.l0, x.l1, .."""
+    both = F.arrays_zip(*[c.alias(f"l{k}") for k, c in enumerate(columns)])
+    return out.select("id", F.posexplode(both).alias("pos", "x"))
+
+
+STATUS = "CASE WHEN o_orderstatus = 'P' THEN '' ELSE {} END"
+
+
+@query(f"""{PROFILE_SQL}, q AS (SELECT *, k || '|' || pos AS kp FROM o) SELECT id, pos::INT AS pos, {fake_sql("university", "(kp || '|education.institution')")} AS institution,
+{STATUS.format(fake_sql("degree", "(kp || '|education.qualification')"))} AS qualification, {fake_sql("date", "(kp || '|education.start_date')")} AS start_date, {fake_sql("thousands:1:5", "(kp || '|real_estate.taxes')")} AS taxes,
+{STATUS.format(fake_sql("word", "(kp || '|real_estate.property_type')"))} AS property_type, {fake_sql("company", "(kp || '|real_estate.mortgage_lender')")} AS lender, {fake_sql("thousands:200:1000", "(kp || '|real_estate.est_market_value')")} AS market_value FROM q""")
+def h6_mask_education_and_estate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = masking.mask_columns(profiles(spark, sf_dir), {c: masking.PROFILE[c] for c in ("education", "real_estate")})
+    x = _listed(out, F.col("education"), F.col("real_estate"))
+    return x.select("id", "pos", "x.l0.institution", "x.l0.qualification", "x.l0.start_date", "x.l1.taxes", "x.l1.property_type", F.col("x.l1.mortgage_lender").alias("lender"), F.col("x.l1.est_market_value").alias("market_value"))
+
+
+@query(f"""{PROFILE_SQL}, q AS (SELECT *, k || '|' || pos AS kp FROM o) SELECT id, pos::INT AS pos, {fake_sql("name", "(kp || '|family_details.members.name')")} AS member, {fake_sql("range:0:100", "(kp || '|family_details.members.age')")} AS age,
+{STATUS.format(fake_sql("relation", "(kp || '|family_details.members.relationship')"))} AS relationship, {fake_sql("name", "(kp || '|family_office.value.name')")} AS officer, {fake_sql("millions:1:50", "(kp || '|private_foundation.value.total_assets')")} AS assets,
+{STATUS.format(fake_sql("phone", "(kp || '|private_foundation.value.phone')"))} AS phone, {fake_sql("word", "(kp || '|interests.interests.value')")} AS interest FROM q""")
+def h6_mask_households(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = masking.mask_columns(profiles(spark, sf_dir), {c: masking.PROFILE[c] for c in ("family_details", "family_office", "private_foundation", "interests")})
+    x = _listed(out, F.col("family_details.members"), F.col("family_office.value"), F.col("private_foundation.value"), F.col("interests.interests"))
+    return x.select("id", "pos", F.col("x.l0.name").alias("member"), "x.l0.age", "x.l0.relationship", F.col("x.l1.name").alias("officer"), F.col("x.l2.total_assets").alias("assets"), "x.l2.phone", F.col("x.l3.value").alias("interest"))
+
+
+@query(f"""{PROFILE_SQL} SELECT id, {fake_sql("range:18:80", "(k || '|personal_details.age.value')")} AS age, {kept_or("name", fake_sql("sentence", "(k || '|personal_details.bio.value')"))} AS bio, {fake_sql("address", "(k || '|personal_details.location.value')")} AS location,
+{kept_or("city", fake_sql("marital", "(k || '|personal_details.marital_status.value')"))} AS marital_status, {kept_or("name", fake_sql("sentence", "(k || '|interests.interests_remarks.value')"))} AS remarks FROM p""")
+def h5_mask_personal_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = masking.mask_columns(profiles(spark, sf_dir), {c: masking.PROFILE[c] for c in ("personal_details", "interests")})
+    return out.select("id", *[F.col(f"personal_details.{c}.value").alias(c) for c in ("age", "bio", "location", "marital_status")], F.col("interests.interests_remarks.value").alias("remarks"))
+
+
 @query(f"""{PROFILE_SQL}, q AS (SELECT *, k || '|cash|' || pos AS kp FROM o) SELECT id, 'cash' AS section, pos::INT AS pos, {fake_sql("millions:1:20", "(kp || '|net_worth.value')")} AS value, {fake_sql("word", "(kp || '|net_worth.source')")} AS source FROM q""")
 def h7_mask_map_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = masking.mask_columns(profiles(spark, sf_dir), {"net_worth": masking.PROFILE["net_worth"]})
