@@ -8,18 +8,24 @@ radius.  A shard sends back one link per fingerprint to a local root, which keep
 connected connected without listing all pairs.  A shard that is too large for one tree is split
 by three parts of its remaining bits, as often as needed; after five splits at most 2^10
 different fingerprints can be left in one.
+
+Two bits are few: texts whose shingles agree to 0.8 differ in about one bit of seven, and no parts
+of the bits bring such texts together at scale.  ``drop_similar`` therefore takes wider
+fingerprints, names its shards by the smallest hashes of a text's shingles (a text is in several),
+follows the BK-trees' edges within a wide radius there, and then compares shingles exactly.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from kinloom.llm._spark import checkpointed, lookup, unused_names
+from kinloom.llm._spark import checkpointed, lookup, unused_names, written
 from kinloom.llm._text import appended
 from kinloom.operators.components import connected_components
 
@@ -34,6 +40,23 @@ SPACE = re.compile(rb"[ \t\n\v\f\r]")
 #: doc_ids (8 bytes each) are broadcast up to so many.
 BROADCAST_DROPPED = 1_000_000
 
+#: Similarity of texts: shingles of so many words, and the least share of common ones among all of both.
+WORDS = 5
+SIMILARITY = 0.8
+#: A text is in BANDS shards, each named by BAND_ROWS smallest hashes: of pairs at 0.8, 0.998 meet in one or more.
+BANDS = 12
+BAND_ROWS = 4
+#: Bits of a wide fingerprint, and how many may differ: at 0.8, 39 differ on average with a deviation of 6.
+WIDE = 256
+WIDE_RADIUS = 64
+#: Bits within which two fingerprints are taken as one group (0.8 on average), or as one place in a tree.
+SURE = 39
+SAME = 12
+#: Members of a group that a fingerprint is compared with in each shard.
+NEAREST = 4
+#: Larger shards are dealt into parts, whose groups' first members meet afterwards.
+MOST_IN_PART = 4096
+
 
 def word_blocks(text: bytes, most: int = BLOCK) -> Iterator[list[bytes]]:
     """The words of a text in lists of about ``most`` bytes, so that a very long text is never a list of all its words."""
@@ -104,29 +127,38 @@ class BKTree:
     def __init__(self):
         self.root: list | None = None
 
-    def add(self, value: int, index: int, radius: int) -> list[int]:
-        """Insert a value; the indices of the earlier values within the radius."""
-        if self.root is None:
-            self.root = [value, index, {}]
-            return []
-        near, visit = [], [self.root]
+    def near(self, value: int, radius: int) -> list[int]:
+        """The indices of the values within the radius."""
+        found, visit = [], [self.root] if self.root else []
         while visit:
             node = visit.pop()
             d = (node[0] ^ value).bit_count()
             if d <= radius:
-                near.append(node[1])
+                found.append(node[1])
             for edge, child in node[2].items():
                 if -radius <= edge - d <= radius:
                     visit.append(child)
+        return found
+
+    def insert(self, value: int, index: int) -> None:
+        if self.root is None:
+            self.root = [value, index, {}]
+            return
         node = self.root
         while True:
             d = (node[0] ^ value).bit_count()
             child = node[2].get(d)
             if child is None:
                 node[2][d] = [value, index, {}]
-                return near
+                return
             node = child
 
+    def add(self, value: int, index: int, radius: int) -> list[int]:
+        """Insert a value; the indices of the earlier values within the radius."""
+        near = self.near(value, radius)
+        self.insert(value, index)
+        return near
+
 
 def tree_links(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
     """(value, root) for the values that are linked to a root other than themselves."""
@@ -228,6 +260,14 @@ def drop_near_copies(docs: DataFrame, radius: int = RADIUS, most: int = MOST_IN_
     none, get their fingerprint a second time and are found by both.
     """
     made, named = _grouped(docs.select("doc_id", "text"), radius, most)
+    return _one_of_each(docs, made, named, lambda rows, name: fingerprints(rows, carry=docs.columns, name=name))
+
+
+def _one_of_each(docs: DataFrame, made: DataFrame, named: DataFrame, reprint: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The rows that stay: ``made`` has (doc_id, fp) of each row, ``named`` (fp, n, component) of each fingerprint.
+
+    ``reprint`` adds a row's fingerprint to all its columns under a given name.
+    """
     grouped = checkpointed(lookup(made, named, ["fp"], "n", "inner").select("doc_id", "fp", "component"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))
     best = grouped.groupBy("component").agg(first.alias("best")).select("best.doc_id", "best.fp", F.lit(True).alias("stays"))
@@ -243,7 +283,188 @@ def drop_near_copies(docs: DataFrame, radius: int = RADIUS, most: int = MOST_IN_
     if odd.isEmpty():
         return held
     again = docs.join(odd.select(F.col("doc_id").alias(odd_key)), F.col("doc_id").eqNullSafe(F.col(odd_key)), "left_semi")
-    again = fingerprints(again, carry=docs.columns, name=mine)
+    again = reprint(again, mine)
     wins = best.select(F.col("doc_id").alias(away), F.col("fp").alias(odd_key))
     again = again.join(wins, F.col("doc_id").eqNullSafe(F.col(away)) & (F.col(mine) == F.col(odd_key)), "left_semi")
     return held.unionByName(again.dropDuplicates(["doc_id", mine]).drop(mine))
+
+
+def shingle_hashes(text: bytes, shingle: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """The different hashes of a lower-case text's shingles, in order; the whole sequence if it has fewer words."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    parts, before = [], []
+    for found in word_blocks(text):
+        words = before + found
+        n = len(words) - shingle + 1
+        if n > 0:
+            parts.append(np.fromiter((digest(g, seed) for g in map(b" ".join, zip(*(words[i : n + i] for i in range(shingle)), strict=True))), np.uint64, n))
+        before = words[-(shingle - 1) :] if shingle > 1 else []
+    if not parts and before:
+        return np.array([digest(b" ".join(before), seed)], np.uint64)
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def _constants(n: int, salt: int) -> np.ndarray:
+    return np.random.default_rng(salt).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of each number over all 64."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def wide_print(hashes: np.ndarray) -> bytes:
+    """Majority bits over WIDE bits made of each hash; all 0 without hashes."""
+    steps, votes = _constants(WIDE // 64, 1), np.zeros(WIDE, np.int64)
+    for start in range(0, len(hashes), 1 << 14):
+        spread = _mixed(hashes[start : start + (1 << 14), None] + steps)
+        votes += np.unpackbits(spread.view(np.uint8).reshape(-1, WIDE // 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(hashes)).tobytes()
+
+
+def shard_names(hashes: np.ndarray) -> np.ndarray:
+    """A name for each band: the smallest of all hashes under each of its BAND_ROWS orders, mixed into one number."""
+    factors = _constants(BANDS * BAND_ROWS, 2)
+    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
+    for start in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[start : start + (1 << 12), None] * factors).min(axis=0))
+    rows = _mixed(least).reshape(BANDS, BAND_ROWS) * _constants(BAND_ROWS, 3)
+    return _mixed(rows.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def sketches(docs: DataFrame, carry: list[str], name: str = "fp", extra: str | None = None, shingle: int = WORDS, seed: int = SEED) -> DataFrame:
+    """The columns ``carry`` and the wide fingerprint; with ``extra`` also ``keys`` (the shards' names) or ``hashes`` (the different shingles')."""
+    fields = [T.StructField(name, T.BinaryType())]
+    if extra:
+        fields.append(T.StructField(extra, T.ArrayType(T.LongType())))
+
+    def made(data: np.ndarray, offsets: np.ndarray) -> list[list]:
+        text = data.tobytes().lower()  # of bytes: A-Z alone
+        out: list[list] = [[] for _ in fields]
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            hashes = shingle_hashes(text[a:b], shingle, seed)
+            out[0].append(wide_print(hashes))
+            if extra:
+                out[1].append(shard_names(hashes) if extra == "keys" else hashes.view(np.int64))
+        return out
+
+    return appended(docs, carry, fields, made)
+
+
+class Shard:
+    """Groups of fingerprints of one shard, which grow one fingerprint at a time."""
+
+    def __init__(self):
+        self.tree, self.held, self.values, self.parent = BKTree(), [], [], []
+
+    def _root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
+
+    def add(self, fp: bytes, radius: int) -> list[bytes]:
+        """The NEAREST fingerprints within the radius of each group in reach.
+
+        Groups within SURE become one; a fingerprint within SAME of another one is not held.
+        """
+        value, nearest = int.from_bytes(fp, "big"), {}
+        for i in self.tree.near(value, radius):
+            nearest.setdefault(self._root(i), []).append(((self.values[i] ^ value).bit_count(), i))
+        nearest = {r: nsmallest(NEAREST, near) for r, near in nearest.items()}
+        roots = sorted(r for r, near in nearest.items() if near[0][0] <= SURE)
+        if all(near[0][0] > SAME for near in nearest.values()):
+            roots.append(len(self.held))
+            self.tree.insert(value, len(self.held))
+            self.parent.append(len(self.held))
+            self.values.append(value)
+            self.held.append(fp)
+        for r in roots[1:]:
+            self.parent[r] = roots[0]
+        return [self.held[i] for near in nearest.values() for _, i in near]
+
+    def roots(self) -> list[bytes]:
+        return [fp for i, fp in enumerate(self.held) if self.parent[i] == i]
+
+
+def _shard_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) within each (key, part) of ``rows`` (key, part, parts, fp), as ``Shard`` finds them.
+
+    A crowd of near copies is one group and gives NEAREST links a fingerprint, not all pairs.  Each
+    shard has an order of its own, so what is nearest among those before differs.  The first member of each group of a key that was dealt into parts also comes back, as a row (a, null, key).
+    """
+    shape = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("key", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "key"])
+
+        # rows come sorted by shard; a shard may go on in the next batch
+        at, shard = (None, None, 1), Shard()
+        for batch in batches:
+            out = []
+            for key, part, parts, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, part, parts) != at:
+                    out += [(r, None, at[0]) for r in shard.roots()] if at[2] > 1 else []
+                    at, shard = (key, part, parts), Shard()
+                out += [(fp, other, None) for other in shard.add(fp, radius)]
+            yield sent(out)
+        yield sent([(r, None, at[0]) for r in shard.roots()] if at[2] > 1 else [])
+
+    sorted_rows = rows.select("key", "part", "parts", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "fp")
+    return checkpointed(sorted_rows.mapInArrow(run, shape))
+
+
+def candidate_links(prints: DataFrame, radius: int = WIDE_RADIUS, most: int = MOST_IN_PART) -> DataFrame:
+    """(a, b): pairs of wide fingerprints from ``prints`` (fp, keys) that share a shard, lie within the radius and span its groups."""
+    rows = prints.select("fp", F.explode("keys").alias("key"))
+    met = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    sized = lookup(rows, met, ["key"], "n", "inner").withColumn("parts", F.ceil(F.col("n") / most).cast("int"))
+    found = _shard_links(sized.withColumn("part", F.pmod(F.xxhash64("fp", "key"), F.col("parts")).cast("int")), radius)
+    pairs = found.where("b is not null").select("a", "b")
+    roots = found.where("b is null")
+    if not roots.isEmpty():
+        again = roots.select("key", F.lit(0).alias("part"), F.lit(1).alias("parts"), F.col("a").alias("fp"))
+        pairs = pairs.unionByName(_shard_links(again, radius).select("a", "b"))
+    return checkpointed(pairs.distinct())
+
+
+def _similar_groups(docs: DataFrame, shingle: int, similarity: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, n, component) of each wide fingerprint; component is the smallest fp linked."""
+    made = checkpointed(sketches(docs, ["doc_id"], extra="keys", shingle=shingle))
+    prints = checkpointed(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("keys").alias("keys")))
+    pairs = candidate_links(prints, most=most)
+    # one text of each candidate is enough: that of the smallest doc_id
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    ids = checkpointed(prints.join(ends, "fp").select(F.col("least").alias("one")).distinct())
+    if ids.limit(BROADCAST_DROPPED + 1).count() <= BROADCAST_DROPPED:
+        ids = F.broadcast(ids)
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("one")), "left_semi")
+    sets = written(sketches(texts, [], extra="hashes", shingle=shingle), "shingles")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    linked = checkpointed(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b").distinct())
+    nodes = checkpointed(connected_components(linked, "a", "b"))
+    named = prints.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component"))
+    return made.select("doc_id", "fp"), checkpointed(named)
+
+
+def drop_similar(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, most: int = MOST_IN_PART) -> DataFrame:
+    """One row of each group of similar texts, with all columns as they are, whatever their names.
+
+    Two texts are linked if at least ``similarity`` of the different ``shingle``-word shingles of
+    both are common (lower case; fewer words: the whole sequence), counted exactly; a group is what
+    links reach.  Candidates are texts that share a shard and lie within WIDE_RADIUS bits: of pairs
+    at 0.8 about 2 in 1,000 share no shard, fewer at more.  Within a shard a text is compared with the
+    NEAREST of each group in reach, not with all of them, so a link to another of a group can be
+    missed where those are below the similarity.  Texts of a shard that are in reach of each other
+    but below SURE are groups of their own: many of them in one shard cost time by the square.
+
+    Which row stays, and null, empty and very long texts, repeated and null doc_ids and an empty
+    table, are as in ``drop_near_copies``: texts without words are one group.
+    """
+    made, named = _similar_groups(docs.select("doc_id", "text"), shingle, similarity, most)
+    return _one_of_each(docs, made, named, lambda rows, name: sketches(rows, docs.columns, name, shingle=shingle))
