@@ -49,11 +49,11 @@ BAND_ROWS = 4
 #: Bits of a wide fingerprint, and how many may differ: at 0.8, 39 differ on average with a deviation of 6.
 WIDE = 256
 WIDE_RADIUS = 64
-#: Bits within which two fingerprints are taken as one group (0.8 on average), or as one place in a tree.
-SURE = 39
+#: Bits within which two fingerprints are taken as one group, or as one place in a tree.
+SURE = 48
 SAME = 12
 #: Members of a group that a fingerprint is compared with in each shard.
-NEAREST = 4
+NEAREST = 2
 #: Larger shards are dealt into parts, whose groups' first members meet afterwards.
 MOST_IN_PART = 4096
 
@@ -366,8 +366,8 @@ class Shard:
             self.parent[i] = i = self.parent[self.parent[i]]
         return i
 
-    def add(self, fp: bytes, radius: int) -> list[bytes]:
-        """The NEAREST fingerprints within the radius of each group in reach.
+    def add(self, fp: bytes, radius: int) -> list[tuple[bytes, int]]:
+        """The NEAREST fingerprints within the radius of each group in reach, and their distances.
 
         Groups within SURE become one; a fingerprint within SAME of another one is not held.
         """
@@ -384,23 +384,23 @@ class Shard:
             self.held.append(fp)
         for r in roots[1:]:
             self.parent[r] = roots[0]
-        return [self.held[i] for near in nearest.values() for _, i in near]
+        return [(self.held[i], d) for near in nearest.values() for d, i in near]
 
     def roots(self) -> list[bytes]:
         return [fp for i, fp in enumerate(self.held) if self.parent[i] == i]
 
 
 def _shard_links(rows: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) within each (key, part) of ``rows`` (key, part, parts, fp), as ``Shard`` finds them.
+    """Links (a, b, distance d) within each (key, part) of ``rows`` (key, part, parts, fp), as ``Shard`` finds them.
 
     A crowd of near copies is one group and gives NEAREST links a fingerprint, not all pairs.  Each
-    shard has an order of its own, so what is nearest among those before differs.  The first member of each group of a key that was dealt into parts also comes back, as a row (a, null, key).
+    shard has an order of its own, so what is nearest among those before differs.  The first member of each group of a key that was dealt into parts also comes back, as a row (a, null, null, key).
     """
-    shape = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("key", T.LongType())])
+    shape = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("d", T.IntegerType()), T.StructField("key", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "key"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int32(), pa.int64()))], names=["a", "b", "d", "key"])
 
         # rows come sorted by shard; a shard may go on in the next batch
         at, shard = (None, None, 1), Shard()
@@ -408,27 +408,27 @@ def _shard_links(rows: DataFrame, radius: int) -> DataFrame:
             out = []
             for key, part, parts, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, part, parts) != at:
-                    out += [(r, None, at[0]) for r in shard.roots()] if at[2] > 1 else []
+                    out += [(r, None, None, at[0]) for r in shard.roots()] if at[2] > 1 else []
                     at, shard = (key, part, parts), Shard()
-                out += [(fp, other, None) for other in shard.add(fp, radius)]
+                out += [(fp, other, d, None) for other, d in shard.add(fp, radius)]
             yield sent(out)
-        yield sent([(r, None, at[0]) for r in shard.roots()] if at[2] > 1 else [])
+        yield sent([(r, None, None, at[0]) for r in shard.roots()] if at[2] > 1 else [])
 
     sorted_rows = rows.select("key", "part", "parts", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "fp")
     return checkpointed(sorted_rows.mapInArrow(run, shape))
 
 
 def candidate_links(prints: DataFrame, radius: int = WIDE_RADIUS, most: int = MOST_IN_PART) -> DataFrame:
-    """(a, b): pairs of wide fingerprints from ``prints`` (fp, keys) that share a shard, lie within the radius and span its groups."""
+    """(a, b, distance d): pairs of wide fingerprints from ``prints`` (fp, keys) that share a shard, lie within the radius and span its groups."""
     rows = prints.select("fp", F.explode("keys").alias("key"))
     met = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     sized = lookup(rows, met, ["key"], "n", "inner").withColumn("parts", F.ceil(F.col("n") / most).cast("int"))
     found = _shard_links(sized.withColumn("part", F.pmod(F.xxhash64("fp", "key"), F.col("parts")).cast("int")), radius)
-    pairs = found.where("b is not null").select("a", "b")
+    pairs = found.where("b is not null").select("a", "b", "d")
     roots = found.where("b is null")
     if not roots.isEmpty():
         again = roots.select("key", F.lit(0).alias("part"), F.lit(1).alias("parts"), F.col("a").alias("fp"))
-        pairs = pairs.unionByName(_shard_links(again, radius).select("a", "b"))
+        pairs = pairs.unionByName(_shard_links(again, radius).select("a", "b", "d"))
     return checkpointed(pairs.distinct())
 
 
@@ -444,10 +444,18 @@ def _similar_groups(docs: DataFrame, shingle: int, similarity: float, most: int)
         ids = F.broadcast(ids)
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("one")), "left_semi")
     sets = written(sketches(texts, [], extra="hashes", shingle=shingle), "shingles")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    linked = checkpointed(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b").distinct())
+
+    def confirmed(some: DataFrame) -> DataFrame:
+        both = some.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return checkpointed(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b").distinct())
+
+    # first each text's nearest candidate; then only candidates that this has not brought together yet
+    linked = confirmed(pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", "best.b"))
     nodes = checkpointed(connected_components(linked, "a", "b"))
+    of = lambda end: nodes.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+    apart = checkpointed(pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b"))
+    nodes = checkpointed(connected_components(linked.unionByName(confirmed(apart)), "a", "b"))
     named = prints.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component"))
     return made.select("doc_id", "fp"), checkpointed(named)
 
