@@ -61,7 +61,7 @@ def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
 
 @dataclass
 class Piece:
-    """Words of some whole texts, or of one block of a long text.
+    """Words of some whole texts, or of one block of a long text, which begins at byte ``base``.
 
     ``doc`` is a word's text, ``number`` its number within that text, ``begin`` and ``end`` the
     pointers between which its text's words lie in this piece.  Words outside of ``own`` belong to
@@ -76,6 +76,7 @@ class Piece:
     begin: np.ndarray
     end: np.ndarray
     own: slice
+    base: int = 0
 
 
 def _piece(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Piece:
@@ -105,7 +106,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, before: in
         n = len(piece.starts)
         stop = n if end >= len(data) else max(skipped, n - after)
         piece.number = piece.number + (first - skipped)
-        piece.own = slice(skipped, stop)
+        piece.own, piece.base = slice(skipped, stop), kept
         yield piece
         if end >= len(data):
             return

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinloom.llm import decontaminate, exact_dedup, language, mixing, packing, quality_model, quality_rules, simhash, substring_dedup, toxicity, url_filter
+from kinloom.llm import decontaminate, exact_dedup, language, mixing, packing, periodic_runs, quality_model, quality_rules, simhash, source_audit, substring_dedup, toxicity, url_filter
 from kinloom.llm._spark import table
 
 
@@ -57,18 +57,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_audit(table(spark, sf_dir, "documents"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hit.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True).drop("runs")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_substring_dedup, op3_quality_classifier, op4_mix_sources, op5_toxicity,
         op6_simhash_near_dedup, op7_quality_rules, op8_packing, op9_language_id, op10_exact_dedup,
-        op12_decontamination,
+        op11_source_audit, op12_decontamination, op13_periodic_runs,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": url_filter.ORACLE, "op4_mix_sources": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op12_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op1_url_filter": url_filter.ORACLE, "op4_mix_sources": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_source_audit": source_audit.ORACLE, "op12_decontamination": decontaminate.ORACLE}
