@@ -9,8 +9,8 @@ positional bounds), and the others are compared word by word with that stretch o
 Windows side by side mostly have the same rarest shingle, so few shingles are looked up, and these
 are rare ones, so few places of the corpus are candidates.
 
-Shingles that no window has never leave a task: a filter of 16 bits a benchmark shingle (8 MB at
-most; fuller filters pass more, and the join drops those) goes to all of them.
+Shingles that no window has hardly ever leave a task: a filter of 1,024 bits a benchmark shingle (16 MB
+at most, where a fuller filter passes more, which the join drops) goes to all of them.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ from kinloom.llm._text import slices
 WINDOW = 10
 SHINGLE = 3
 SEED = 42
-#: Bits of the filter: at least 16 a shingle, and at most so many.
+#: Bits of the filter: about 1,024 a shingle, between these powers of two.
+A_SHINGLE = 1024
 LEAST_BITS = 12
-MOST_BITS = 26
+MOST_BITS = 27
 #: A task numbers its rows from its own number times this on.
 ROWS_A_TASK = 1 << 38
 
@@ -101,7 +102,7 @@ class ShingleFilter:
 
     def __init__(self, hashes: DataFrame, column: str = "h"):
         n = hashes.count()
-        self.bits = min(MOST_BITS, max(LEAST_BITS, (16 * max(n, 1) - 1).bit_length()))
+        self.bits = min(MOST_BITS, max(LEAST_BITS, (A_SHINGLE * max(n, 1) - 1).bit_length()))
         place = F.shiftrightunsigned(F.col(column), 64 - self.bits)
         packed = hashes.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
         self.words = np.zeros(1 << (self.bits - 6), np.int64)
