@@ -11,21 +11,21 @@ different fingerprints can be left in one.
 
 Two bits are few: texts whose shingles agree to 0.8 differ in about one bit of seven, and no parts
 of the bits bring such texts together at scale.  ``drop_similar`` therefore takes wider
-fingerprints, names its shards by the smallest hashes of a text's shingles (a text is in several),
-follows the BK-trees' edges within a wide radius there, and then compares shingles exactly.
+fingerprints, names its shards by the smallest hashes of a text's shingles (min-hash bands; a text is
+in several), follows the edges of each shard's BK-trees within a wide radius, and compares the
+shingles of every pair found there, unless other links have brought the two together already.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from kinloom.llm._spark import checkpointed, lookup, unused_names, written
+from kinloom.llm._spark import checkpointed, lookup, unused_names
 from kinloom.llm._text import appended
 from kinloom.operators.components import connected_components
 
@@ -49,13 +49,13 @@ BAND_ROWS = 4
 #: Bits of a wide fingerprint, and how many may differ: at 0.8, 39 differ on average with a deviation of 6.
 WIDE = 256
 WIDE_RADIUS = 64
-#: Bits within which two fingerprints are taken as one group, or as one place in a tree.
-SURE = 48
-SAME = 12
-#: Members of a group that a fingerprint is compared with in each shard.
-NEAREST = 2
-#: Larger shards are dealt into parts, whose groups' first members meet afterwards.
+#: Members of a shard that one task judges, and the bytes of their shingles' hashes; larger shards are dealt into parts.
 MOST_IN_PART = 4096
+PART_BYTES = 32 << 20
+#: Members of a dealt shard that are in all of its parts: those that are in the most shards.
+HUBS = 32
+#: A group outgrows the one that is searched apart by this factor before it takes its place.
+OUTGROWN = 2
 
 
 def word_blocks(text: bytes, most: int = BLOCK) -> Iterator[list[bytes]]:
@@ -337,10 +337,12 @@ def shard_names(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, carry: list[str], name: str = "fp", extra: str | None = None, shingle: int = WORDS, seed: int = SEED) -> DataFrame:
-    """The columns ``carry`` and the wide fingerprint; with ``extra`` also ``keys`` (the shards' names) or ``hashes`` (the different shingles')."""
+    """The columns ``carry`` and the wide fingerprint; with ``extra`` also ``keys`` (the shards' names) and ``size`` (how many different shingles), or ``hashes`` (the different shingles')."""
     fields = [T.StructField(name, T.BinaryType())]
     if extra:
         fields.append(T.StructField(extra, T.ArrayType(T.LongType())))
+    if extra == "keys":
+        fields.append(T.StructField("size", T.LongType()))
 
     def made(data: np.ndarray, offsets: np.ndarray) -> list[list]:
         text = data.tobytes().lower()  # of bytes: A-Z alone
@@ -350,112 +352,180 @@ def sketches(docs: DataFrame, carry: list[str], name: str = "fp", extra: str | N
             out[0].append(wide_print(hashes))
             if extra:
                 out[1].append(shard_names(hashes) if extra == "keys" else hashes.view(np.int64))
+            if extra == "keys":
+                out[2].append(len(hashes))
         return out
 
     return appended(docs, carry, fields, made)
 
 
-class Shard:
-    """Groups of fingerprints of one shard, which grow one fingerprint at a time."""
+class Part:
+    """Members of a shard, joined as they are found similar.
 
-    def __init__(self):
-        self.tree, self.held, self.values, self.parent = BKTree(), [], [], []
+    Every pair of members within the radius is compared unless both are in one group by then, so
+    the groups in the end are those of all such pairs.  Members of the largest group lie in a tree
+    of their own, which a member of that group need not search; whether it is one is asked first
+    of the group's best-linked member.  So a crowd around one text costs little more than its number.
+    """
 
-    def _root(self, i: int) -> int:
+    def __init__(self, prints: list[int], sets: list[np.ndarray], radius: int, similarity: float):
+        self.prints, self.radius, self.similarity = prints, radius, similarity
+        self.sizes = np.array([len(x) for x in sets])
+        names, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ids = np.split(numbers.astype(np.int32), np.cumsum(self.sizes)[:-1])
+        self.marked = np.zeros(len(names), bool)
+        self.parent, self.members, self.degree = list(range(len(prints))), [1] * len(prints), [0] * len(prints)
+        self.main, self.rest, self.anchor, self.hub = BKTree(), BKTree(), None, None
+        self.placed: list[int] = []
+        self.links: list[tuple[int, int]] = []
+
+    def find(self, i: int) -> int:
         while self.parent[i] != i:
             self.parent[i] = i = self.parent[self.parent[i]]
         return i
 
-    def add(self, fp: bytes, radius: int) -> list[tuple[bytes, int]]:
-        """The NEAREST fingerprints within the radius of each group in reach, and their distances.
-
-        Groups within SURE become one; a fingerprint within SAME of another one is not held.
-        """
-        value, nearest = int.from_bytes(fp, "big"), {}
-        for i in self.tree.near(value, radius):
-            nearest.setdefault(self._root(i), []).append(((self.values[i] ^ value).bit_count(), i))
-        nearest = {r: nsmallest(NEAREST, near) for r, near in nearest.items()}
-        roots = sorted(r for r, near in nearest.items() if near[0][0] <= SURE)
-        if all(near[0][0] > SAME for near in nearest.values()):
-            roots.append(len(self.held))
-            self.tree.insert(value, len(self.held))
-            self.parent.append(len(self.held))
-            self.values.append(value)
-            self.held.append(fp)
-        for r in roots[1:]:
-            self.parent[r] = roots[0]
-        return [(self.held[i], d) for near in nearest.values() for d, i in near]
-
-    def roots(self) -> list[bytes]:
-        return [fp for i, fp in enumerate(self.held) if self.parent[i] == i]
-
-
-def _shard_links(rows: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b, distance d) within each (key, part) of ``rows`` (key, part, parts, fp), as ``Shard`` finds them.
-
-    A crowd of near copies is one group and gives NEAREST links a fingerprint, not all pairs.  Each
-    shard has an order of its own, so what is nearest among those before differs.  The first member of each group of a key that was dealt into parts also comes back, as a row (a, null, null, key).
+    def join(self, i: int, j: int) -> None:
+        a, b = self.find(i), self.find(j)
+        if a != b:
+            self.parent[a] = b
+            self.members[b] += self.members[a]
+
+    def place(self, i: int) -> None:
+        """Put a member where later ones find it."""
+        self.placed.append(i)
+        group = self.find(i)
+        if self.anchor is None or (group != self.find(self.anchor) and self.members[group] > OUTGROWN * self.members[self.find(self.anchor)]):
+            self.anchor, self.hub, self.main, self.rest = i, i, BKTree(), BKTree()
+            for j in self.placed:
+                inside = self.find(j) == group
+                (self.main if inside else self.rest).insert(self.prints[j], j)
+                if inside and self.degree[j] > self.degree[self.hub]:
+                    self.hub = j
+        else:
+            (self.main if group == self.find(self.anchor) else self.rest).insert(self.prints[i], i)
+
+    def _similar(self, i: int, others: list[int]) -> list[int]:
+        """Those of ``others`` that have enough shingles in common with i, whose shingles are marked."""
+        sizes = self.sizes[others]
+        least, most = np.minimum(sizes, self.sizes[i]), np.maximum(sizes, self.sizes[i])
+        likely = np.flatnonzero(least >= self.similarity * most)
+        if not len(likely):
+            return []
+        chosen = [self.ids[others[k]] for k in likely]
+        ends = np.cumsum(sizes[likely])
+        common = np.add.reduceat(self.marked[np.concatenate(chosen)], ends - sizes[likely], dtype=np.int64) if ends[-1] else np.zeros(len(likely), np.int64)
+        return [others[k] for k in likely[common >= self.similarity * (sizes[likely] + self.sizes[i] - common)]]
+
+    def judge(self, i: int) -> None:
+        """Link a member to those placed before it that are similar and in other groups."""
+        self.marked[self.ids[i]] = True
+        apart = lambda: self.anchor is not None and self.find(self.anchor) != self.find(i)
+        if apart() and self._similar(i, [self.hub]):
+            self._link(i, self.hub)
+        near = self.rest.near(self.prints[i], self.radius) + (self.main.near(self.prints[i], self.radius) if apart() else [])
+        near = [j for j in near if self.find(j) != self.find(i)]
+        for j in self._similar(i, near) if near else ():
+            if self.find(j) != self.find(i):
+                self._link(i, j)
+        self.marked[self.ids[i]] = False
+
+    def _link(self, i: int, j: int) -> None:
+        self.join(i, j)
+        self.links.append((i, j))
+        for k in (i, j):
+            self.degree[k] += 1
+            if self.hub is not None and self.degree[k] > self.degree[self.hub] and self.find(k) == self.find(self.anchor):
+                self.hub = k
+
+
+def part_links(prints: list[bytes], sets: list[np.ndarray], labels: list[bytes], visits: list[bool], radius: int, similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links that span what is similar within the radius.  Members of one label are one group beforehand.
+
+    If some members are visitors, they alone are compared, with the residents.
     """
-    shape = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("d", T.IntegerType()), T.StructField("key", T.LongType())])
+    part = Part([int.from_bytes(p, "big") for p in prints], sets, radius, similarity)
+    first: dict[bytes, int] = {}
+    for i, label in enumerate(labels):
+        part.join(i, first.setdefault(label, i))
+    visiting = any(visits)
+    for i, visitor in enumerate(visits):
+        if visitor or not visiting:
+            part.judge(i)
+        if not visitor:
+            part.place(i)
+    return [(prints[i], prints[j]) for i, j in part.links]
+
+
+def _part_links(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) found within each (key, part) of ``rows`` (key, part, fp, label, visits, score, hashes)."""
+    shape = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sent(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int32(), pa.int64()))], names=["a", "b", "d", "key"])
+        # rows come sorted by part; a part may go on in the next batch
+        at, held = None, ([], [], [], [])
+
+        def judged() -> pa.RecordBatch:
+            found = part_links(*held, radius, similarity) if len(held[0]) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-        # rows come sorted by shard; a shard may go on in the next batch
-        at, shard = (None, None, 1), Shard()
         for batch in batches:
-            out = []
-            for key, part, parts, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, part, parts) != at:
-                    out += [(r, None, None, at[0]) for r in shard.roots()] if at[2] > 1 else []
-                    at, shard = (key, part, parts), Shard()
-                out += [(fp, other, d, None) for other, d in shard.add(fp, radius)]
-            yield sent(out)
-        yield sent([(r, None, None, at[0]) for r in shard.roots()] if at[2] > 1 else [])
-
-    sorted_rows = rows.select("key", "part", "parts", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "fp")
-    return checkpointed(sorted_rows.mapInArrow(run, shape))
-
-
-def candidate_links(prints: DataFrame, radius: int = WIDE_RADIUS, most: int = MOST_IN_PART) -> DataFrame:
-    """(a, b, distance d): pairs of wide fingerprints from ``prints`` (fp, keys) that share a shard, lie within the radius and span its groups."""
-    rows = prints.select("fp", F.explode("keys").alias("key"))
-    met = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    sized = lookup(rows, met, ["key"], "n", "inner").withColumn("parts", F.ceil(F.col("n") / most).cast("int"))
-    found = _shard_links(sized.withColumn("part", F.pmod(F.xxhash64("fp", "key"), F.col("parts")).cast("int")), radius)
-    pairs = found.where("b is not null").select("a", "b", "d")
-    roots = found.where("b is null")
-    if not roots.isEmpty():
-        again = roots.select("key", F.lit(0).alias("part"), F.lit(1).alias("parts"), F.col("a").alias("fp"))
-        pairs = pairs.unionByName(_shard_links(again, radius).select("a", "b", "d"))
-    return checkpointed(pairs.distinct())
-
-
-def _similar_groups(docs: DataFrame, shingle: int, similarity: float, most: int) -> tuple[DataFrame, DataFrame]:
+            hashes = batch.column(5)
+            bounds, every = hashes.offsets.to_numpy(), hashes.values.to_numpy()
+            for r, (key, part, fp, label, visits) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)):
+                if (key, part) != at:
+                    yield judged()
+                    at, held = (key, part), ([], [], [], [])
+                if not held[0] or held[0][-1] != fp:  # rows that repeat a text
+                    for column, value in zip(held, (fp, every[bounds[r] : bounds[r + 1]].copy(), label, visits), strict=True):
+                        column.append(value)
+        yield judged()
+
+    # those in the most shards come first: the middle of a crowd is in more of them than its edge
+    ordered = rows.repartition("key", "part").sortWithinPartitions("key", "part", "visits", F.desc("score"), "fp")
+    return checkpointed(ordered.select("key", "part", "fp", "label", "visits", "hashes").mapInArrow(run, shape))
+
+
+def _similar_groups(docs: DataFrame, shingle: int, similarity: float, most: int, radius: int = WIDE_RADIUS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of each row, and (fp, n, component) of each wide fingerprint; component is the smallest fp linked."""
     made = checkpointed(sketches(docs, ["doc_id"], extra="keys", shingle=shingle))
-    prints = checkpointed(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("keys").alias("keys")))
-    pairs = candidate_links(prints, most=most)
-    # one text of each candidate is enough: that of the smallest doc_id
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    ids = checkpointed(prints.join(ends, "fp").select(F.col("least").alias("one")).distinct())
-    if ids.limit(BROADCAST_DROPPED + 1).count() <= BROADCAST_DROPPED:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("one")), "left_semi")
-    sets = written(sketches(texts, [], extra="hashes", shingle=shingle), "shingles")
-
-    def confirmed(some: DataFrame) -> DataFrame:
-        both = some.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return checkpointed(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b").distinct())
-
-    # first each text's nearest candidate; then only candidates that this has not brought together yet
-    linked = confirmed(pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", "best.b"))
+    prints = checkpointed(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("keys").alias("keys"), F.max("size").alias("size")))
+    rows = prints.select("fp", "size", F.explode("keys").alias("key"))
+    met = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1"))
+    parts = F.greatest(F.ceil(F.col("n") / most), F.ceil(8 * F.col("shingles") / PART_BYTES)).cast("int")
+    shared = checkpointed(lookup(rows, met, ["key"], "n", "inner").select("key", "fp", "n", F.least(parts, F.col("n")).cast("int").alias("parts")))
+    score = shared.groupBy("fp").agg(F.count("*").alias("score"))
+    dealt = checkpointed(shared.join(score, "fp").withColumn("part", F.pmod(F.xxhash64("fp", "key"), F.col("parts")).cast("int")))
+
+    def with_hashes(some: DataFrame) -> DataFrame:
+        """Rows with the hashes of one text of each fingerprint: that of the smallest doc_id."""
+        ids = checkpointed(prints.join(some.select("fp").distinct(), "fp", "left_semi").select(F.col("least").alias("one")).distinct())
+        if ids.limit(BROADCAST_DROPPED + 1).count() <= BROADCAST_DROPPED:
+            ids = F.broadcast(ids)
+        texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("one")), "left_semi")
+        return some.join(sketches(texts, [], extra="hashes", shingle=shingle), "fp")
+
+    alone = dealt.select("key", "part", "fp", F.col("fp").alias("label"), F.lit(False).alias("visits"), "score")
+    split = dealt.where("parts > 1")
+    crowded = not split.isEmpty()
+    if crowded:
+        first = Window.partitionBy("key").orderBy(F.desc("score"), "fp")
+        hubs = split.withColumn("place", F.row_number().over(first)).where(F.col("place") <= HUBS)
+        others = F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array("part"))
+        alone = alone.unionByName(hubs.select("key", F.explode(others).alias("part"), "fp", F.col("fp").alias("label"), F.lit(False).alias("visits"), "score"))
+    linked = _part_links(with_hashes(alone), radius, similarity)
     nodes = checkpointed(connected_components(linked, "a", "b"))
-    of = lambda end: nodes.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
-    apart = checkpointed(pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b"))
-    nodes = checkpointed(connected_components(linked.unionByName(confirmed(apart)), "a", "b"))
+    if crowded:
+        # members of a dealt shard's largest group need not meet each other; all others meet the parts they were not in
+        label = nodes.select(F.col("node").alias("fp"), F.col("component").alias("label"))
+        named = checkpointed(split.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+        largest = named.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.sum("m").alias("rows"))
+        named = checkpointed(lookup(named, checkpointed(largest), ["key"], "rows", "inner"))
+        elsewhere = F.explode(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array("part")))
+        visitors = named.where("label <> largest").select("key", elsewhere.alias("part"), "fp", "label", F.lit(True).alias("visits"), "score")
+        if not visitors.isEmpty():
+            residents = named.select("key", "part", "fp", "label", F.lit(False).alias("visits"), "score")
+            linked = linked.unionByName(_part_links(with_hashes(residents.unionByName(visitors)), radius, similarity))
+            nodes = checkpointed(connected_components(linked, "a", "b"))
     named = prints.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component"))
     return made.select("doc_id", "fp"), checkpointed(named)
 
@@ -465,11 +535,12 @@ def drop_similar(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMI
 
     Two texts are linked if at least ``similarity`` of the different ``shingle``-word shingles of
     both are common (lower case; fewer words: the whole sequence), counted exactly; a group is what
-    links reach.  Candidates are texts that share a shard and lie within WIDE_RADIUS bits: of pairs
-    at 0.8 about 2 in 1,000 share no shard, fewer at more.  Within a shard a text is compared with the
-    NEAREST of each group in reach, not with all of them, so a link to another of a group can be
-    missed where those are below the similarity.  Texts of a shard that are in reach of each other
-    but below SURE are groups of their own: many of them in one shard cost time by the square.
+    links reach.  Compared are texts that share a shard and lie within WIDE_RADIUS bits: of pairs at
+    0.8 about 2 in 1,000 share no shard, fewer at more.  Within a shard no link is lost, however large
+    it is: shards of over ``most`` texts are dealt into parts, each with the shard's HUBS best-known
+    texts, and then texts outside of the shard's largest group visit the other parts.  A crowd of
+    near copies of one text costs little more than its number; texts in reach of each other that are
+    not similar are compared pair by pair in their shard, which grows by the square of their number.
 
     Which row stays, and null, empty and very long texts, repeated and null doc_ids and an empty
     table, are as in ``drop_near_copies``: texts without words are one group.
