@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinloom.operators.skew import cut_lineage
+from kinloom.operators.skew import cut_lineage, unused_names
 
 #: Vectors of one side of a tile; two sides and their products bound a task's memory.
 TILE = 4096
@@ -22,8 +22,9 @@ def norm(a: Column | str) -> Column:
 
 def normalize_vectors(df: DataFrame, column: str = "embedding") -> DataFrame:
     """Unit vectors; a zero vector stays as it is."""
-    size = norm(column)
-    return df.withColumn("__norm", size).withColumn(column, F.when(F.col("__norm") > 0, F.transform(column, lambda x: x.cast("double") / F.col("__norm"))).otherwise(F.transform(column, lambda x: x.cast("double")))).drop("__norm")
+    (size,) = unused_names(df, "size")
+    unit = F.transform(column, lambda x: x.cast("double") / F.when(F.col(size) > 0, F.col(size)).otherwise(1.0))
+    return df.withColumn(size, norm(column)).withColumn(column, unit).drop(size)
 
 
 def client_vectors(vectors: DataFrame, clients: DataFrame) -> DataFrame:
@@ -76,19 +77,13 @@ def top1_client(vectors: DataFrame, clients: DataFrame) -> DataFrame:
 
 def nearest_neighbors(vectors: DataFrame, n: int = 5) -> DataFrame:
     """node_id, top1_id, top1_score, ..: the n nearest others; missing places are null."""
-    found = nearest_long(vectors, vectors, n, exclude_self=True)
-    wide = [x for k in range(1, n + 1) for x in (F.max(F.when(F.col("place") == k, F.col("other"))).alias(f"top{k}_id"), F.max(F.when(F.col("place") == k, F.col("score"))).alias(f"top{k}_score"))]
-    return vectors.select("id").join(found.groupBy("id").agg(*wide), "id", "left").withColumnRenamed("id", "node_id")
+    return wide_places(vectors, nearest_long(vectors, vectors, n, exclude_self=True), n)
 
 
-def approximate_neighbors(vectors: DataFrame, n: int = 5, bucket: float = 0.5, tables: int = 8, seed: int = 0) -> DataFrame:
-    """(id, other, score, place) by random projections of unit vectors: an approximate way for very large sets."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    unit = cut_lineage(normalize_vectors(vectors.select("id", "embedding"))).withColumn("v", array_to_vector("embedding"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit)
-    joined = model.approxSimilarityJoin(unit, unit, 1.2, "d").select(F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("other"), (1 - F.col("d") * F.col("d") / 2).alias("score")).where("id <> other")
-    return joined.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))).where(F.col("place") <= n)
+def wide_places(vectors: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """A row for each vector, and a column for each place of what was ``found`` (id, other, score, place)."""
+    wide = [x for k in range(1, n + 1) for x in (F.max(F.when(F.col("place") == k, F.col("other"))).alias(f"top{k}_id"), F.max(F.when(F.col("place") == k, F.col("score"))).alias(f"top{k}_score"))]
+    return vectors.select("id").join(found.groupBy("id").agg(*wide), "id", "left").withColumnRenamed("id", "node_id")
 
 
 def annotate_best_clients(rows: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 6, weighted: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinloom.operators import gin, similarity, walks
+from kinloom.operators import gin, neighbours, similarity, walks
 from kinloom.operators.skew import cut_lineage
 from kinloom.plans import graph_view as view
 from kinloom.plans.q_paths import PAYLOAD_SQL, bfs_sql
@@ -115,6 +115,24 @@ def e6_nearest_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.withColumns({f"top{k}_score": F.round(f"top{k}_score", 6) for k in (1, 2, 3)})
 
 
+@query()
+def e6_indexed_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.indexed_neighbors(cut_lineage(_vectors(spark, sf_dir)), 3)
+    return near.withColumns({f"top{k}_score": F.round(f"top{k}_score", 6) for k in (1, 2, 3)})
+
+
+@query()
+def e6_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = cut_lineage(_vectors(spark, sf_dir))
+    return neighbours.index_recall(vectors, vectors, 3)
+
+
+@query()
+def e5_indexed_top1_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = cut_lineage(_vectors(spark, sf_dir))
+    return neighbours.indexed_top1_client(vectors, vectors.where("label = 0")).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(f"""{DENSE}, {VECTORS}, nv AS (SELECT p.id, e, entity_type FROM people p JOIN u ON u.id = p.c_custkey::VARCHAR),
 top AS (SELECT a.id, b.id AS best, round(list_dot_product(a.e, b.e), 9) AS score FROM nv a, nv b WHERE b.entity_type = 'Client' AND a.entity_type = 'Prospect' QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY score DESC, b.id) = 1),
 pairs AS (SELECT id AS src, best AS dst FROM top), {bfs_sql()}, {PAYLOAD_SQL}
