@@ -1,19 +1,28 @@
 """A relationship graph over the given tables: customers and suppliers as people and advisors.
 
-An organisation is a part's deliveries of one week, and every order line links its customer to
-one, so customers who got the same part in the same week share an organisation.  Two variants.
-*dense*: customers with a negative balance are prospects.  *layered*: customers outside the
-BUILDING segment are, so clients are several hops away from many of them.
+Every order line links its customer to an organisation, so customers who got the same part share
+one.  Variants:
+
+* *dense*: organisations are parts, customers with a negative balance are prospects.
+* *yearly*: the same prospects, an organisation is a part's deliveries of one year; for the listing of
+  paths, whose number grows with the square of an organisation's customers.
+* *layered*: organisations as in *yearly*, nearly all customers are prospects, so clients are several
+  hops away from many of them.
+* *territorial*: as *yearly*, and a customer's nation is an organisation, too: one that all prospects
+  and clients of a nation share.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Which customers are prospects.
-VARIANTS = {"dense": "c_acctbal < 0", "layered": "c_mktsegment <> 'BUILDING'"}
-#: Days are counted from here, weeks from 0.
-FIRST_DAY = "1992-01-01"
+#: Which customers are prospects, whether organisations are parts' years, and whether nations are organisations.
+VARIANTS = {
+    "dense": ("c_acctbal < 0", False, False),
+    "yearly": ("c_acctbal < 0", True, False),
+    "layered": ("c_acctbal <= 9800", True, False),
+    "territorial": ("c_acctbal < 0", True, True),
+}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,25 +30,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _customers(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
-    prospect = F.expr(VARIANTS[variant])
+    prospect = F.expr(VARIANTS[variant][0])
     return read(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_name", F.concat(F.when(prospect, "p").otherwise("c"), "c_custkey").alias("id"),
         F.when(prospect, "Prospect").otherwise("Client").alias("entity_type"), F.col("c_acctbal").alias("networth"),
     )
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with week and org, their organisation's id."""
-    week = F.floor(F.datediff("l_shipdate", F.lit(FIRST_DAY).cast("date")) / 7)
-    return read(spark, sf_dir, "lineitem").withColumn("week", week).withColumn("org", F.concat(F.lit("o"), "l_partkey", F.lit("w"), "week"))
+def _lines(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
+    """Order lines with org, their organisation's id."""
+    part = F.concat(F.lit("o"), "l_partkey")
+    return read(spark, sf_dir, "lineitem").withColumn("org", F.concat(part, F.lit("y"), F.year("l_shipdate")) if VARIANTS[variant][1] else part)
 
 
 def nodes(spark: SparkSession, sf_dir: str, variant: str = "dense") -> DataFrame:
     """id, label, entity_type, networth."""
     people = _customers(spark, sf_dir, variant).select("id", F.col("c_name").alias("label"), "entity_type", "networth")
     none = F.lit(None).cast("double").alias("networth")
-    weeks = _lines(spark, sf_dir).select("org", "l_partkey").distinct()
-    parts = weeks.join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("org").alias("id"), F.col("p_name").alias("label"), F.lit("Organization").alias("entity_type"), none)
+    orgs = _lines(spark, sf_dir, variant).select("org", "l_partkey").distinct()
+    parts = orgs.join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("org").alias("id"), F.col("p_name").alias("label"), F.lit("Organization").alias("entity_type"), none)
+    if VARIANTS[variant][2]:
+        parts = parts.unionByName(read(spark, sf_dir, "nation").select(F.concat(F.lit("on"), "n_nationkey").alias("id"), F.col("n_name").alias("label"), F.lit("Organization").alias("entity_type"), none))
     advisors = read(spark, sf_dir, "supplier").select(F.concat(F.lit("a"), "s_suppkey").alias("id"), F.col("s_name").alias("label"), F.lit("Advisor").alias("entity_type"), none)
     return people.unionByName(parts).unionByName(advisors)
 
@@ -48,11 +59,13 @@ def edges(spark: SparkSession, sf_dir: str, variant: str = "dense") -> DataFrame
     """source, target, weight, edge_detail, edge_seq: one row per pair, weights in quarters."""
     people = _customers(spark, sf_dir, variant)
     bought = (
-        _lines(spark, sf_dir).join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        _lines(spark, sf_dir, variant).join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("o_custkey", "org")
         .agg(F.max(F.ceil(F.col("l_quantity") / 12.5) / 4).alias("weight"), F.min("o_orderpriority").alias("edge_detail"), F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_seq"))
     )
     held = bought.join(people, F.col("o_custkey") == F.col("c_custkey")).select(F.col("id").alias("source"), F.col("org").alias("target"), "weight", "edge_detail", "edge_seq")
+    if VARIANTS[variant][2]:
+        held = held.unionByName(people.select(F.col("id").alias("source"), F.concat(F.lit("on"), "c_nationkey").alias("target"), F.lit(0.5).alias("weight"), F.lit("lives in").alias("edge_detail"), (F.col("c_custkey") + 2_000_000_000_000).alias("edge_seq")))
     first = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s"))
     advised = people.where("entity_type = 'Client'").join(first, F.col("c_nationkey") == F.col("s_nationkey"))
     return held.unionByName(
@@ -62,18 +75,21 @@ def edges(spark: SparkSession, sf_dir: str, variant: str = "dense") -> DataFrame
 
 def view_sql(variant: str = "dense") -> str:
     """CTEs people, nodes, edges and sym (both directions) of the same graph, without WITH."""
-    prospect = VARIANTS[variant]
+    prospect, yearly, territorial = VARIANTS[variant]
+    org = "'o' || l_partkey" + (" || 'y' || year(l_shipdate::DATE)" if yearly else "")
+    nations = "UNION ALL SELECT 'on' || n_nationkey, n_name, 'Organization', NULL FROM nation" if territorial else ""
+    living = "UNION ALL SELECT id, 'on' || c_nationkey, 0.5, 'lives in', c_custkey + 2000000000000 FROM people" if territorial else ""
     return f"""
-lines AS (SELECT *, date_diff('day', DATE '{FIRST_DAY}', l_shipdate::DATE) // 7 AS week, 'o' || l_partkey || 'w' || (date_diff('day', DATE '{FIRST_DAY}', l_shipdate::DATE) // 7) AS org FROM lineitem),
+lines AS (SELECT *, {org} AS org FROM lineitem),
 people AS (SELECT c_custkey, c_nationkey, c_name, CASE WHEN {prospect} THEN 'p' ELSE 'c' END || c_custkey AS id,
                   CASE WHEN {prospect} THEN 'Prospect' ELSE 'Client' END AS entity_type, c_acctbal AS networth FROM customer),
 nodes AS (SELECT id, c_name AS label, entity_type, networth FROM people
-          UNION ALL SELECT org, p_name, 'Organization', NULL FROM (SELECT DISTINCT org, l_partkey FROM lines) JOIN part ON l_partkey = p_partkey
+          UNION ALL SELECT org, p_name, 'Organization', NULL FROM (SELECT DISTINCT org, l_partkey FROM lines) JOIN part ON l_partkey = p_partkey {nations}
           UNION ALL SELECT 'a' || s_suppkey, s_name, 'Advisor', NULL FROM supplier),
 bought AS (SELECT o_custkey, org, max(ceil(l_quantity / 12.5) / 4) AS weight, min(o_orderpriority) AS edge_detail,
                   min(l_orderkey * 10 + l_linenumber) AS edge_seq
            FROM lines JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
-edges AS (SELECT id AS source, org AS target, weight, edge_detail, edge_seq FROM bought JOIN people ON o_custkey = c_custkey
+edges AS (SELECT id AS source, org AS target, weight, edge_detail, edge_seq FROM bought JOIN people ON o_custkey = c_custkey {living}
           UNION ALL
           SELECT id, 'a' || s, 1.0, 'advised by', c_custkey + 1000000000000
           FROM people JOIN (SELECT s_nationkey, min(s_suppkey) AS s FROM supplier GROUP BY 1) f ON c_nationkey = s_nationkey
@@ -83,7 +99,7 @@ sym AS (SELECT source, target, weight, edge_detail, edge_seq FROM edges UNION AL
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (customer, part, order line) as an edge; those of returned lines run from part to customer."""
-    people = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.when(F.expr(VARIANTS["dense"]), "p").otherwise("c"), "c_custkey").alias("id"))
+    people = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.when(F.expr(VARIANTS["dense"][0]), "p").otherwise("c"), "c_custkey").alias("id"))
     lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = lines.groupBy("o_custkey", "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_seq")).agg(F.max(F.ceil(F.col("l_quantity") / 12.5) / 4).alias("weight"), F.min("l_returnflag").alias("edge_detail"))
     part, back = F.concat(F.lit("o"), "l_partkey"), F.col("edge_detail") == "R"
@@ -139,8 +155,7 @@ def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = edges(spark, sf_dir).where(F.col("target").startswith("o"))
     client = held.join(people, F.col("source") == F.col("id")).where(F.col("id").startswith("c")).select(F.col("id").alias("client_id"), F.col("c_custkey").alias("ck"), F.col("c_name").alias("client_name"), F.when(F.col("c_nationkey") < 5, 1).otherwise(0).alias("client_is_fav"), F.col("networth").alias("client_est_nw"), "target", F.col("weight").alias("cw"), F.col("edge_detail").alias("client_org_relation"))
     other = held.join(people, F.col("source") == F.col("id")).where(F.col("id").startswith("p")).select(F.col("c_custkey").alias("pk"), F.col("c_name").alias("connection_name"), F.when(F.col("networth") > -900, F.col("networth")).alias("connection_est_nw"), "target", F.col("weight").alias("pw"), F.col("edge_detail").alias("conn_org_relation"))
-    weeks = _lines(spark, sf_dir).select(F.col("org").alias("target"), "l_partkey", "week").distinct()
-    parts = weeks.join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("target", F.concat("p_name", F.lit(" "), "p_partkey", F.lit(" week "), "week").alias("organization"), F.when(F.col("p_type") != "ECONOMY", F.col("p_type")).alias("org_type"))
+    parts = read(spark, sf_dir, "part").select(F.concat(F.lit("o"), "p_partkey").alias("target"), F.concat("p_name", F.lit(" "), "p_partkey").alias("organization"), F.when(F.col("p_type") != "ECONOMY", F.col("p_type")).alias("org_type"))
     both = client.join(other, "target").join(parts, "target")
     return both.select(
         "client_id", "client_name", "client_is_fav", F.concat(F.lit("ace "), F.col("ck") % 7).alias("primary_ace"), (F.col("client_est_nw") * 10).alias("est_aum"), "client_est_nw", "connection_name", "connection_est_nw",
@@ -153,7 +168,7 @@ CONNECTIONS_SQL = f"""
 connections AS (
   SELECT c.id AS client_id, c.c_name AS client_name, CASE WHEN c.c_nationkey < 5 THEN 1 ELSE 0 END AS client_is_fav, 'ace ' || (c.c_custkey % 7) AS primary_ace,
          c.networth * 10 AS est_aum, c.networth AS client_est_nw, p.c_name AS connection_name, CASE WHEN p.networth > -900 THEN p.networth END AS connection_est_nw,
-         p_name || ' ' || p_partkey || ' week ' || week AS organization, CASE WHEN p_type <> 'ECONOMY' THEN p_type END AS org_type, e.weight * f.weight AS score,
+         p_name || ' ' || p_partkey AS organization, CASE WHEN p_type <> 'ECONOMY' THEN p_type END AS org_type, e.weight * f.weight AS score,
          e.edge_detail AS client_org_relation, f.edge_detail AS conn_org_relation, lpad(c.c_custkey::VARCHAR, 12, '0') || '|' || lpad(p.c_custkey::VARCHAR, 12, '0') || '|' || e.target AS seq
   FROM edges e JOIN people c ON e.source = c.id AND c.id[1] = 'c' JOIN edges f ON e.target = f.target JOIN people p ON f.source = p.id AND p.id[1] = 'p'
-  JOIN (SELECT DISTINCT org, l_partkey, week FROM lines) ON e.target = org JOIN part ON l_partkey = p_partkey)"""
+  JOIN part ON e.target = 'o' || p_partkey)"""

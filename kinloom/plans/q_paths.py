@@ -11,6 +11,7 @@ from kinloom.plans.registry import query
 
 DENSE = "WITH RECURSIVE " + view.view_sql("dense")
 LAYERED = "WITH RECURSIVE " + view.view_sql("layered")
+YEARLY = "WITH RECURSIVE " + view.view_sql("yearly")
 
 
 def map_text(c: str) -> Column:
@@ -22,7 +23,7 @@ def _graph(spark: SparkSession, sf_dir: str, variant: str) -> tuple[DataFrame, D
     return view.nodes(spark, sf_dir, variant), cut_lineage(view.edges(spark, sf_dir, variant))
 
 
-@query(f"""{DENSE},
+@query(f"""{YEARLY},
 walk(start, last, path, score, details, hop, hit) AS (
   SELECT source, target, [source, target], weight, edge_detail, 0, false FROM sym JOIN nodes ON source = id WHERE entity_type = 'Prospect'
   UNION ALL
@@ -31,7 +32,7 @@ walk(start, last, path, score, details, hop, hit) AS (
 SELECT start AS prospect_id, last AS client_id, round(sum(score), 6) AS total_score, count(*) AS n_paths,
        string_agg(array_to_string(path, '→') || '=' || details, ';' ORDER BY array_to_string(path, '→')) AS path_details FROM walk WHERE hit GROUP BY 1, 2""")
 def d1_simple_path_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = paths.simple_path_scores(*_graph(spark, sf_dir, "dense"))
+    out = paths.simple_path_scores(*_graph(spark, sf_dir, "yearly"))
     return out.select("prospect_id", "client_id", F.round("total_score", 6).alias("total_score"), F.size("path_details").cast("long").alias("n_paths"), map_text("path_details").alias("path_details"))
 
 
@@ -69,7 +70,7 @@ def d3_shortest_path_relationships(spark: SparkSession, sf_dir: str) -> DataFram
 @query(f"""{LAYERED}, asked AS (SELECT 'p' || c_custkey AS id FROM customer UNION SELECT org FROM lines UNION SELECT 'o' || p_partkey FROM part), there AS (SELECT DISTINCT source AS id FROM sym)
 SELECT a.id, CASE WHEN t.id IS NULL THEN 'unfound' WHEN n.entity_type = 'Prospect' THEN 'found' ELSE 'not a prospect' END AS status FROM asked a LEFT JOIN there t USING (id) LEFT JOIN nodes n USING (id)""")
 def d4_unfound_prospects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = view.read(spark, sf_dir, "customer").select(F.concat(F.lit("p"), "c_custkey").alias("id")).unionByName(view.read(spark, sf_dir, "part").select(F.concat(F.lit("o"), "p_partkey").alias("id"))).unionByName(view._lines(spark, sf_dir).select(F.col("org").alias("id")))
+    asked = view.read(spark, sf_dir, "customer").select(F.concat(F.lit("p"), "c_custkey").alias("id")).unionByName(view.read(spark, sf_dir, "part").select(F.concat(F.lit("o"), "p_partkey").alias("id"))).unionByName(view._lines(spark, sf_dir, "layered").select(F.col("org").alias("id")))
     return paths.unfound_prospects(asked, *_graph(spark, sf_dir, "layered"))
 
 
