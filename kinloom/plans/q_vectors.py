@@ -43,30 +43,57 @@ def walks_sql(steps: int, num_walks: int, seed: int, weighted: bool = True, p: f
     return ", ".join(out)
 
 
+def pooled_walks_sql(steps: int, num_walks: int, seed: int, weighted: bool = True) -> str:
+    """CTEs ending in w<steps>: walks from every node through pools of one-step segments, one CTE a step."""
+    prime = walks.PRIME
+    weight = "sum(weight)" if weighted else "1.0::DOUBLE"
+    key = lambda i: f"('0x' || substr(md5(source), {i}, 7))::BIGINT"
+    out = [f"adj AS MATERIALIZED (SELECT source, target, {weight} AS weight FROM sym GROUP BY 1, 2)"]
+    out.append("cum AS MATERIALIZED (SELECT source, target, sum(weight) OVER o AS high, sum(weight) OVER o - weight AS low FROM adj WINDOW o AS (PARTITION BY source ORDER BY target))")
+    out.append(f"tot AS MATERIALIZED (SELECT source, sum(weight) AS whole, {key(1)} AS k1, {key(8)} AS k2 FROM adj GROUP BY 1)")
+    out.append(f"pool AS MATERIALIZED (SELECT *, greatest(1, ceil((SELECT count(*) FROM tot)::DOUBLE * {num_walks} * whole / (SELECT sum(whole) FROM tot)))::BIGINT AS slots FROM tot)")
+    out.append(f"slot AS (SELECT source, k1, k2, whole, step, unnest(range(CASE WHEN step = 0 THEN {num_walks} ELSE slots END)) AS slot FROM pool, range({steps}) s(step))")
+    h = f"((k1 + {seed * 7919 + 1}) % {prime})"
+    for more in ("k2", "step * 1000003 + slot", "slot + 12345", "step"):
+        out.append(f"h{len(out)} AS (SELECT source, k1, k2, whole, step, slot, (h * h + {more}) % {prime} AS h FROM {out[-1].split(' ')[0] if more != 'k2' else f'(SELECT *, {h} AS h FROM slot)'})")
+    last = out[-1].split(" ")[0]
+    out.append(f"seg AS MATERIALIZED (SELECT step, h.source AS node, slot, target AS next, (h * h + 99991) % {prime} AS more FROM {last} h JOIN cum c ON h.source = c.source AND (h + 0.5) / {prime}.0::DOUBLE * whole >= low AND (h + 0.5) / {prime}.0::DOUBLE * whole < high)")
+    out.append(f"w0 AS (SELECT source AS start, n AS walk_no, [source] AS walk, source AS node, n AS slot FROM tot, range({num_walks}) r(n))")
+    for k in range(1, steps + 1):
+        out.append(f"w{k} AS MATERIALIZED (SELECT start, walk_no, list_append(walk, next) AS walk, next AS node, more % slots AS slot FROM w{k - 1} w JOIN seg s ON s.step = {k - 1} AND s.node = w.node AND s.slot = w.slot JOIN pool p ON p.source = next)")
+    return ", ".join(out)
+
+
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where walks start; they meet organisations on the way."""
-    return view.nodes(spark, sf_dir, "layered").where("entity_type <> 'Organization'")
+    return view.nodes(spark, sf_dir).where("entity_type <> 'Organization'")
 
 
-@query(f"{LAYERED}, {walks_sql(29, 10, 3, people=True)} SELECT start, walk_no, array_to_string(walk, ',') AS walk FROM w29")
+@query(f"{DENSE}, {pooled_walks_sql(29, 10, 3)} SELECT start, walk_no, array_to_string(walk, ',') AS walk FROM w29")
 def e1_random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = walks.random_walks(view.edges(spark, sf_dir, "layered"), starts=_people(spark, sf_dir), seed=3)
+    out = walks.random_walks(view.edges(spark, sf_dir), seed=3)
+    return out.select("start", "walk_no", F.array_join("walk", ",").alias("walk"))
+
+
+@query(f"{DENSE}, {walks_sql(9, 2, 6, people=True)} SELECT start, walk_no, array_to_string(walk, ',') AS walk FROM w9")
+def e1_walks_of_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = walks.random_walks(view.edges(spark, sf_dir), num_walks=2, walk_length=10, starts=_people(spark, sf_dir), seed=6)
     return out.select("start", "walk_no", F.array_join("walk", ",").alias("walk"))
 
 
-@query(f"{LAYERED}, {walks_sql(3, 1, 4, p=0.5, q=2.0)} SELECT start, walk_no, array_to_string(walk, ',') AS walk FROM w3")
+@query(f"{DENSE}, {walks_sql(3, 1, 4, p=0.5, q=2.0)} SELECT start, walk_no, array_to_string(walk, ',') AS walk FROM w3")
 def e1_biased_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = walks.random_walks(view.edges(spark, sf_dir, "layered"), num_walks=1, walk_length=4, p=0.5, q=2.0, seed=4)
+    out = walks.random_walks(view.edges(spark, sf_dir), num_walks=1, walk_length=4, p=0.5, q=2.0, seed=4)
     return out.select("start", "walk_no", F.array_join("walk", ",").alias("walk"))
 
 
 def _coverage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges = cut_lineage(view.edges(spark, sf_dir, "layered"))
-    walked = walks.random_walks(edges, starts=_people(spark, sf_dir), seed=5, weighted=False)
+    edges = cut_lineage(view.edges(spark, sf_dir))
+    walked = walks.random_walks(edges, seed=5, weighted=False)
     return walks.walk_coverage(walked, edges)
 
 
-COVERAGE = f"""{LAYERED}, {walks_sql(29, 10, 5, weighted=False, people=True)}, visits AS (SELECT start, count(DISTINCT node) AS visited FROM (SELECT start, unnest(walk) AS node FROM w29) GROUP BY 1)"""
+COVERAGE = f"""{DENSE}, {pooled_walks_sql(29, 10, 5, weighted=False)}, visits AS (SELECT start, count(DISTINCT node) AS visited FROM (SELECT start, unnest(walk) AS node FROM w29) GROUP BY 1)"""
 
 
 @query(f"{COVERAGE} SELECT start, visited, round(visited / (SELECT count(DISTINCT source) FROM sym), 9) AS coverage FROM visits")
@@ -79,6 +106,12 @@ def c10_mean_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coverage(spark, sf_dir)[1].withColumn("mean_coverage", F.round("mean_coverage", 9))
 
 
+@query(f"""{COVERAGE}, c AS (SELECT visited / (SELECT count(DISTINCT source) FROM sym) AS coverage FROM visits), r AS (SELECT min(coverage) AS low, (max(coverage) - min(coverage)) / 30 AS width FROM c)
+SELECT CASE WHEN width > 0 THEN least(floor((coverage - low) / width), 29)::INT ELSE 0 END AS bin, count(*) AS n FROM c, r GROUP BY 1""")
+def c10_coverage_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coverage(spark, sf_dir)[2]
+
+
 @query()
 def e2_train_node2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     walked = walks.random_walks(view.edges(spark, sf_dir, "layered"), starts=_people(spark, sf_dir), seed=1)
