@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinloom.operators.components import connected_components
-from kinloom.operators.skew import cut_lineage
+from kinloom.operators.skew import Spread, cut_lineage, lookup, unused_names
 
 FORMS = {"prospect": ("p", "prospect"), "organization": ("o", "org", "organisation", "organization"), "client": ("c", "client")}
 
@@ -57,23 +57,25 @@ def first_rows(df: DataFrame, bucket: Column, order: list[str], n: int) -> DataF
     ``bucket`` is a whole number below 65,536 that rises with the order.  Counts per bucket tell
     which one holds the n-th row; only that one is sorted.
     """
-    keyed = cut_lineage(df.withColumn("__bucket", bucket.cast("int")))
+    (name,) = unused_names(df, "bucket")
+    keyed = cut_lineage(df.withColumn(name, bucket.cast("int")))
     total, last = 0, None
-    for b, rows in sorted(keyed.groupBy("__bucket").count().collect()):  # 65,536 rows at most
+    for b, rows in sorted(keyed.groupBy(name).count().collect()):  # 65,536 rows at most
         if total + rows >= n:
             last = b
             break
         total += rows
     if last is None:
-        return keyed.drop("__bucket")
-    rest = keyed.where(F.col("__bucket") == last).orderBy(*order).limit(n - total)
-    return keyed.where(F.col("__bucket") < last).unionByName(rest).drop("__bucket")
+        return keyed.drop(name)
+    rest = keyed.where(F.col(name) == last).orderBy(*order).limit(n - total)
+    return keyed.where(F.col(name) < last).unionByName(rest).drop(name)
 
 
 def subset_random(nodes: DataFrame, edges: DataFrame, size: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """``size`` nodes picked by a hash of seed and id, and the edges between them."""
-    drawn = nodes.withColumn("__draw", F.md5(F.concat(F.lit(f"{seed}|"), "id")))
-    picked = first_rows(drawn, F.conv(F.substring("__draw", 1, 4), 16, 10), ["__draw", "id"], size).drop("__draw")
+    (name,) = unused_names(nodes, "draw")
+    drawn = nodes.withColumn(name, F.md5(F.concat(F.lit(f"{seed}|"), "id")))
+    picked = first_rows(drawn, F.conv(F.substring(name, 1, 4), 16, 10), [name, "id"], size).drop(name)
     return picked, induced_edges(edges, picked)
 
 
@@ -87,11 +89,11 @@ def subset_by_table(nodes: DataFrame, edges: DataFrame, table: DataFrame, column
 def subset_by_component(edges: DataFrame, seeds: DataFrame | None = None, min_size: int = 1) -> DataFrame:
     """The edges of whole components that hold one of ``seeds.id`` and have at least ``min_size`` nodes."""
     member = cut_lineage(connected_components(edges))
-    kept = member.groupBy("component").count().where(F.col("count") >= min_size).select("component")
+    kept = member.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
     if seeds is not None:
         hit = member.join(seeds.select(F.col("id").alias("node")), "node", "left_semi").select("component").distinct()
         kept = kept.join(hit, "component", "left_semi")
-    inside = member.join(kept, "component", "left_semi").select(F.col("node").alias("source"))
+    inside = lookup(member, cut_lineage(kept), ["component"], "n", "inner").select(F.col("node").alias("source"))
     return edges.join(inside, "source", "left_semi")
 
 
@@ -99,9 +101,9 @@ def k_hop_nodes(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """(id, hops) of the nodes within k hops of ``seeds.id``."""
     sym = undirected_edges(edges.select("source", "target")).distinct()
     reached = seeds.select("id").distinct().withColumn("hops", F.lit(0))
-    front = reached
+    front, links = reached, Spread(cut_lineage(sym), "source")
     for hop in range(1, k + 1):
-        step = front.select(F.col("id").alias("source")).join(sym, "source").select(F.col("target").alias("id")).distinct()
+        step = links.join(front.select(F.col("id").alias("source"))).select(F.col("target").alias("id")).distinct()
         front = cut_lineage(step.join(reached, "id", "left_anti").withColumn("hops", F.lit(hop)))
         reached = reached.unionByName(front)
     return reached

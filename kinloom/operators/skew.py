@@ -97,3 +97,30 @@ class Spread:
         copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts_", F.lit(1)) - 1))
         repeated = rows.join(self.hubs, self.key, "left").withColumn("part_", copies).drop("parts_")
         return repeated.join(self.edges, [self.key, "part_"]).drop("part_")
+
+
+#: Pairs of rows of one key that one task forms, and rows of a side in a tile of a heavier key.
+TILE_PAIRS = 1 << 20
+TILE_ROWS = 1024
+
+
+def tiled_join(left: DataFrame, right: DataFrame, key: str, pairs: int = TILE_PAIRS, rows: int = TILE_ROWS) -> DataFrame:
+    """The inner join of two sides that both may have many rows of one key, in which no key meets in one task.
+
+    Keys with at most ``pairs`` pairs of rows go through an ordinary join.  Of a heavier one both
+    sides are dealt into tiles of about ``rows`` rows and each tile of the left meets each of the right.
+    Both sides are read more than once, so callers hand in checkpoints or something as cheap.
+    """
+    n, m = left.groupBy(key).agg(F.count("*").alias("n_")), right.groupBy(key).agg(F.count("*").alias("m_"))
+    heavy = cut_lineage(n.join(m, key).where(F.col("n_") * F.col("m_") > pairs))
+    if heavy.isEmpty():
+        return left.join(right, key)
+    ids = heavy.select(key, F.ceil(F.col("n_") / rows).cast("int").alias("parts_"), F.ceil(F.col("m_") / rows).cast("int").alias("others_"), "n_", "m_")
+
+    def dealt(side: DataFrame, weight: str, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        columns = [quoted(c) for c in side.columns]
+        found = lookup(side, ids.select(key, F.col(own).alias("own_"), F.col(other).alias("other_"), weight), [key], weight, "left")
+        place = F.pmod(F.xxhash64(*columns), F.coalesce("own_", F.lit(1))).cast("int")
+        return found.select(*columns, place.alias(mine), F.explode(F.sequence(F.lit(0), F.coalesce("other_", F.lit(1)) - 1)).alias(theirs))
+
+    return dealt(left, "n_", "parts_", "others_", "left_", "right_").join(dealt(right, "m_", "others_", "parts_", "right_", "left_"), [key, "left_", "right_"]).drop("left_", "right_")

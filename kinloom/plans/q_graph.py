@@ -153,9 +153,9 @@ def c5_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_components(view.shared_edges(spark, sf_dir))
 
 
-@query(f"{SHARED} SELECT component, coalesce(string_agg(node, ',' ORDER BY node) FILTER (node[1] = 'c'), '') AS clients FROM component GROUP BY 1")
+@query(f"{SHARED}, k AS (SELECT component, node FROM component WHERE node[1] = 'c') SELECT DISTINCT a.component, k.node AS client FROM component a LEFT JOIN k USING (component)")
 def c6_component_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.component_clients(view.nodes(spark, sf_dir), view.shared_edges(spark, sf_dir)).select("component", F.array_join("clients", ",").alias("clients"))
+    return profile.component_clients(view.nodes(spark, sf_dir), view.shared_edges(spark, sf_dir))
 
 
 @query(f"{SHARED}, s AS (SELECT component, count(*) AS size FROM component GROUP BY 1) SELECT node, component, size, size >= 6 AS is_large FROM component JOIN s USING (component)")
@@ -175,3 +175,13 @@ def c8_path_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT walk_length::INT AS walk_length, greatest(10, 10000000 // (n * walk_length)) AS num_walks FROM l""")
 def c9_recommend_walk_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.recommend_walk_params(view.territory_edges(spark, sf_dir), 6)
+
+
+@query()
+def c8_sketched_path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.sketched_path_lengths(view.shared_edges(spark, sf_dir)).withColumn("avg_path", F.round("avg_path", 6))
+
+
+@query()
+def c9_sketched_walk_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.recommend_walk_params(view.shared_edges(spark, sf_dir), 6, sketched=True)

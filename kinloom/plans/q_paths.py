@@ -107,7 +107,8 @@ def d7_best_fit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.best_fit_rank(scored, order=("client_id",))
 
 
-INDEX = f"""{LAYERED},
+def index_sql(variant: str) -> str:
+    return f"""WITH RECURSIVE {view.view_sql(variant)},
 typed AS (SELECT source AS x, target AS o, weight, edge_seq FROM edges WHERE target[1] = 'o'),
 w AS (SELECT o, arg_min(weight, edge_seq) AS w FROM typed GROUP BY 1),
 po AS (SELECT DISTINCT x AS p, typed.o, w FROM typed JOIN w USING (o) WHERE x[1] = 'p'),
@@ -119,8 +120,12 @@ l6 AS (SELECT a.p, c, sum(alpha * score) AS score FROM alpha a JOIN l4 ON q = l4
 layers AS (SELECT *, 2 AS layer FROM l2 UNION ALL SELECT *, 4 FROM l4 UNION ALL SELECT *, 6 FROM l6)"""
 
 
-def _index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    nodes, edges = _graph(spark, sf_dir, "layered")
+INDEX, TERRITORIES = index_sql("layered"), index_sql("territorial")
+
+
+
+def _index(spark: SparkSession, sf_dir: str, variant: str = "layered") -> dict[str, DataFrame]:
+    nodes, edges = _graph(spark, sf_dir, variant)
     return {k: cut_lineage(df) for k, df in prep.build_typed_index(nodes, edges).items()}
 
 
@@ -129,6 +134,16 @@ def d8_two_hop_org_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multihop.two_hop_org_scores(_index(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
+@query(f"{TERRITORIES} SELECT p, c, round(score, 6) AS score FROM l2")
+def d8_scores_over_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multihop.two_hop_org_scores(_index(spark, sf_dir, "territorial")).withColumn("score", F.round("score", 6))
+
+
+@query(f"{TERRITORIES} SELECT p, q, round(alpha, 6) AS alpha FROM alpha")
+def d9_bridges_over_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multihop.bridge_factor(_index(spark, sf_dir, "territorial")).withColumn("alpha", F.round("alpha", 6))
+
+
 @query(f"{INDEX} SELECT p, q, round(alpha, 6) AS alpha FROM alpha")
 def d9_bridge_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multihop.bridge_factor(_index(spark, sf_dir)).withColumn("alpha", F.round("alpha", 6))

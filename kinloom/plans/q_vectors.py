@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinloom.operators import gin, neighbours, similarity, walks
+from kinloom.operators import gin, neighbours, prep, similarity, skipgram, walks
 from kinloom.operators.skew import cut_lineage
 from kinloom.plans import graph_view as view
 from kinloom.plans.q_paths import PAYLOAD_SQL, bfs_sql
@@ -114,9 +114,13 @@ def c10_coverage_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e2_train_node2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walked = walks.random_walks(view.edges(spark, sf_dir, "layered"), starts=_people(spark, sf_dir), seed=1)
-    vectors = walks.train_node2vec(cut_lineage(walked))
-    return vectors.select("id", F.size("embedding").alias("dimensions"), F.round(similarity.norm("embedding"), 4).alias("size"))
+    edges = cut_lineage(view.edges(spark, sf_dir))
+    vectors = cut_lineage(skipgram.train_node2vec(cut_lineage(walks.random_walks(edges, seed=1))))
+    # of each node's ten nearest by cosine, those that it has an edge with
+    near = neighbours.NeighbourIndex(vectors).search(vectors, 10)
+    linked = prep.undirected_edges(edges.select("source", "target")).distinct().select(F.col("source").alias("id"), F.col("target").alias("other"), F.lit(1).alias("edge"))
+    overlap = near.join(linked, ["id", "other"], "left").groupBy("id").agg(F.count("*").alias("n_near"), F.count("edge").alias("n_linked"))
+    return vectors.select("id", F.size("embedding").alias("dimensions")).join(overlap, "id", "left")
 
 
 @query(f"WITH {VECTORS} SELECT id, generate_subscripts(e, 1)::INT - 1 AS pos, round(unnest(e), 6) AS value FROM u")
@@ -225,11 +229,22 @@ def e10_edge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.edge_scores(cut_lineage(gin.gin_embed(edges, LAYERS)), edges).withColumn("score", F.round("score", 6))
 
 
-NEGATIVE = """ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS index FROM (SELECT DISTINCT source AS id FROM sym)), size AS (SELECT count(*) AS n FROM ids),
-draws AS (SELECT d AS draw, (('0x' || substr(md5('9|s|' || d), 1, 15))::UBIGINT % n)::BIGINT AS si, (('0x' || substr(md5('9|t|' || d), 1, 15))::UBIGINT % n)::BIGINT AS ti
-          FROM size, range((SELECT (floor(2.5 * count(*)) + 8)::BIGINT FROM edges)) r(d)),
-negative AS (SELECT a.id AS source, b.id AS target, min(draw) AS draw FROM draws JOIN ids a ON si = a.index JOIN ids b ON ti = b.index
-             WHERE si <> ti AND NOT EXISTS (SELECT 1 FROM sym WHERE sym.source = a.id AND sym.target = b.id) GROUP BY 1, 2 ORDER BY draw LIMIT (SELECT count(*) FROM edges))"""
+def _feistel_sql(seed: int) -> str:
+    """CTEs f0..f4 (d, half, l, r): the rounds of the keyed permutation of draws."""
+    prime = gin.PRIME
+    out = ["f0 AS (SELECT d, half, d >> half AS l, d & ((1::BIGINT << half) - 1) AS r FROM size, range((SELECT least(1::BIGINT << (2 * half), (3 * want * (1::BIGINT << (2 * half)) / pairs)::BIGINT + 256) FROM size)) x(d))"]
+    for k in range(1, 5):
+        x = f"((r + {seed * 4 + k * 1_000_003}) % {prime})"
+        m = f"(({x} * {x} + {99_991 * k}) % {prime})"
+        out.append(f"f{k} AS (SELECT d, half, r AS l, xor(l, (({m} * {m} + r) % {prime}) & ((1::BIGINT << half) - 1)) AS r FROM f{k - 1})")
+    return ", ".join(out)
+
+
+NEGATIVE = f"""ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS index FROM (SELECT DISTINCT source AS id FROM sym)),
+size AS MATERIALIZED (SELECT n, n * (n - 1) // 2 AS pairs, ceil(ceil(log2(n * (n - 1) // 2)) / 2)::INT AS half, (SELECT count(*) FROM edges) AS want FROM (SELECT count(*) AS n FROM ids)), {_feistel_sql(9)},
+drawn AS (SELECT d AS draw, y, floor((1 + sqrt(1 + 8.0::DOUBLE * y)) / 2)::BIGINT AS b FROM (SELECT d, (l << half) + r AS y FROM f4), size WHERE y < pairs),
+negative AS (SELECT a.id AS source, b.id AS target, draw FROM drawn JOIN ids a ON y - drawn.b * (drawn.b - 1) // 2 = a.index JOIN ids b ON drawn.b = b.index
+             WHERE NOT EXISTS (SELECT 1 FROM sym WHERE sym.source = a.id AND sym.target = b.id) ORDER BY draw LIMIT (SELECT count(*) FROM edges))"""
 
 
 @query(f"{LAYERED}, {NEGATIVE} SELECT source, target FROM negative")
