@@ -75,6 +75,21 @@ def a8_write_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(f"WITH {VIEW} SELECT format, id, label, entity_type FROM nodes, (VALUES ('csv'), ('json'), ('parquet')) AS f(format)")
+def a8_written_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers find in the written files, by format."""
+    nodes = graph_view.nodes(spark, sf_dir).select("id", "label", "entity_type")
+    formats = ("csv", "json", "parquet")
+    paths = tables.write_outputs({f: (nodes, f) for f in formats}, tables.scratch_path(spark, "rows"))
+    out = None
+    for f in formats:
+        options = {"header": "true"} if f == "csv" else {}
+        one = tables.read_source(spark, paths[f], ["id", "label", "entity_type"], f, "id string, label string, entity_type string", **options)
+        one = one.select(F.lit(f).alias("format"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT 'orders' AS metric, count(*) AS value FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') = '1996-01-02'")
 def a9_run_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = read(spark, sf_dir, "orders").withColumn("run_date", F.date_format("o_orderdate", "yyyy-MM-dd"))
@@ -145,6 +160,29 @@ def g6_ingestion_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingestion_funnel(*_ingestion(spark, sf_dir))
 
 
+#: The named metrics of one day's ingestion, as a configuration states them.
+DAY_METRICS = {
+    "ingestion_count": "SELECT count(*) AS value FROM {dossier} WHERE run_date = :run_date",
+    "raw_mapping_count": "SELECT count(*) AS value FROM {mapping} WHERE source_table = 'dossier' AND run_date = :run_date",
+    "duplicate_mapping_count": """SELECT count(*) AS value FROM (
+        SELECT dossier_id FROM {mapping} WHERE run_date = :run_date GROUP BY dossier_id HAVING count(DISTINCT internal_client_id) > 1)""",
+    "filtered_count": "SELECT count(*) AS value FROM {dossier} JOIN {mapping} USING (dossier_id, run_date) WHERE is_current = 'Y' AND run_date = :run_date",
+    "loaded_count": "SELECT count(*) AS value FROM {unified} WHERE source = 'WX' AND run_date = :run_date",
+}
+DAY = "1996-01-02"
+
+
+@query(
+    INGESTION
+    + f""", named AS (SELECT 'ingestion_count' AS metric, * FROM g1 UNION ALL SELECT 'raw_mapping_count', * FROM g2 UNION ALL SELECT 'duplicate_mapping_count', * FROM g3
+UNION ALL SELECT 'filtered_count', * FROM g4 UNION ALL SELECT 'loaded_count', * FROM g5)
+SELECT metric, '{DAY}' AS run_date, coalesce(sum(n) FILTER (WHERE run_date = '{DAY}'), 0)::DOUBLE AS value FROM named GROUP BY 1"""
+)
+def a9_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dossier, mapping, unified = _ingestion(spark, sf_dir)
+    return tables.run_metrics(spark, DAY_METRICS, DAY, dossier=dossier, mapping=mapping, unified=unified)
+
+
 @query(INGESTION + " SELECT * FROM clients ORDER BY clients DESC, dossier_id, run_date LIMIT 50")
 def g7_duplicate_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.duplicate_mappings(_ingestion(spark, sf_dir)[1])

@@ -98,3 +98,19 @@ def write_outputs(tables: dict[str, tuple[DataFrame, str]], folder: str) -> dict
 def run_metric(spark: SparkSession, sql: str, run_date: str, **tables: DataFrame) -> DataFrame:
     """A metric's rows; the SQL refers to ``:run_date`` and to tables as ``{name}``."""
     return spark.sql(sql, args={"run_date": run_date}, **tables)
+
+
+def run_metrics(spark: SparkSession, metrics: dict[str, str], run_date: str, **tables: DataFrame) -> DataFrame:
+    """(metric, run_date, value) of every named SQL text, in one job.
+
+    Each text is written as for ``run_metric`` and names its result ``value``; of several rows the
+    first counts, and a text without rows gives a null value.
+    """
+    if not metrics:
+        return spark.createDataFrame([], "metric string, run_date string, value double")
+    out = None
+    for name, sql in metrics.items():
+        first = run_metric(spark, sql, run_date, **tables).limit(1).agg(F.first("value").cast("double").alias("value"))
+        one = first.select(F.lit(name).alias("metric"), F.lit(run_date).alias("run_date"), "value")
+        out = one if out is None else out.unionByName(one)
+    return out
