@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinloom.operators.skew import cut_lineage as checkpointed, lookup, quoted, unused_names
+from kinloom.operators.skew import checkpointed, lookup, quoted, unused_names
 from kinloom.sources.tables import scratch_path
 
 __all__ = ["checkpointed", "held_out", "learning_rows", "lookup", "quoted", "table", "unused_names", "written"]
